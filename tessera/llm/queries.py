@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, token_counts
+from tessera.llm import bpe, fingerprints, substring_dedup, token_counts
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -16,13 +16,23 @@ def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(_table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256: every document without the 13-word windows that a smaller doc_id has."""
+    return substring_dedup.digest(substring_dedup.deduplicate(_table(spark, folder, "documents")))
+
+
+def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how like they are to each other and to the next document's."""
+    return fingerprints.compare_with_next(_table(spark, folder, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """The exact length histogram of all documents with its prefix and suffix sums, a row for each length that occurs."""
     return token_counts.limits(token_counts.histogram(_table(spark, folder, "documents")))
 
 
 def queries() -> dict:
-    own = (op2_byte_bpe, op10_token_counts)
+    own = (op2_byte_bpe, op5_substring_dedup, op7_fingerprints, op10_token_counts)
     return {f.__name__: f for f in own}
 
 
