@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, fingerprints, substring_dedup, token_counts
+from tessera.llm import bpe, fingerprints, near_dedup, substring_dedup, token_counts
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -16,6 +16,11 @@ def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(_table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op4_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, copy_of, class_id, keep of every document: its near-duplicate class, of which the least id stays."""
+    return near_dedup.near_duplicates(_table(spark, folder, "documents"))
+
+
 def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256: every document without the 13-word windows that a smaller doc_id has."""
     return substring_dedup.digest(substring_dedup.deduplicate(_table(spark, folder, "documents")))
@@ -32,7 +37,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op2_byte_bpe, op5_substring_dedup, op7_fingerprints, op10_token_counts)
+    own = (op2_byte_bpe, op4_near_dedup, op5_substring_dedup, op7_fingerprints, op10_token_counts)
     return {f.__name__: f for f in own}
 
 
