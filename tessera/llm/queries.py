@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, fingerprints, near_dedup, substring_dedup, token_counts
+from tessera.llm import bpe, decontaminate, fingerprints, near_dedup, quality, substring_dedup, token_counts
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, item_id, score, question_overlap, answer_overlap: every document that holds a test item."""
+    return decontaminate.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text."""
     return bpe.round_trip(_table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -31,13 +36,20 @@ def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.compare_with_next(_table(spark, folder, "documents"))
 
 
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document, by trees that never saw the held-out fifth's labels."""
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    forest = quality.train(docs, _table(spark, folder, "labels"))
+    return quality.score(docs, forest).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """The exact length histogram of all documents with its prefix and suffix sums, a row for each length that occurs."""
     return token_counts.limits(token_counts.histogram(_table(spark, folder, "documents")))
 
 
 def queries() -> dict:
-    own = (op2_byte_bpe, op4_near_dedup, op5_substring_dedup, op7_fingerprints, op10_token_counts)
+    own = (op1_decontamination, op2_byte_bpe, op4_near_dedup, op5_substring_dedup, op7_fingerprints, op9_quality, op10_token_counts)
     return {f.__name__: f for f in own}
 
 
