@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, decontaminate, fingerprints, near_dedup, quality, substring_dedup, token_counts
+from tessera.llm import bpe, decontaminate, fingerprints, near_dedup, pii, quality, substring_dedup, token_counts
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,6 +21,11 @@ def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(_table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every document."""
+    return pii.digest(pii.find(_table(spark, folder, "documents").select("doc_id", "text")))
+
+
 def op4_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, copy_of, class_id, keep of every document: its near-duplicate class, of which the least id stays."""
     return near_dedup.near_duplicates(_table(spark, folder, "documents"))
@@ -49,7 +54,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_decontamination, op2_byte_bpe, op4_near_dedup, op5_substring_dedup, op7_fingerprints, op9_quality, op10_token_counts)
+    own = (op1_decontamination, op2_byte_bpe, op3_pii, op4_near_dedup, op5_substring_dedup, op7_fingerprints, op9_quality, op10_token_counts)
     return {f.__name__: f for f in own}
 
 
