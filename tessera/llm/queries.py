@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, decontaminate, fingerprints, near_dedup, pii, quality, substring_dedup, token_counts
+from tessera.llm import bpe, decontaminate, fingerprints, licenses, near_dedup, pii, quality, substring_dedup, token_counts
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -41,6 +41,11 @@ def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.compare_with_next(_table(spark, folder, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, license, containment, first_word, last_word, places: every licence notice of every document."""
+    return licenses.scan(_table(spark, folder, "documents"))
+
+
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, held_out, score, predicted of every document, by trees that never saw the held-out fifth's labels."""
     docs = _table(spark, folder, "documents").select("doc_id", "text")
@@ -54,7 +59,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_decontamination, op2_byte_bpe, op3_pii, op4_near_dedup, op5_substring_dedup, op7_fingerprints, op9_quality, op10_token_counts)
+    own = (op1_decontamination, op2_byte_bpe, op3_pii, op4_near_dedup, op5_substring_dedup, op7_fingerprints, op8_license_scan, op9_quality, op10_token_counts)
     return {f.__name__: f for f in own}
 
 
