@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, decontaminate, fingerprints, licenses, near_dedup, pii, quality, substring_dedup, token_counts
+from tessera.llm import bpe, decontaminate, fingerprints, licenses, near_dedup, pii, quality, substring_dedup, token_counts, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -36,6 +36,11 @@ def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.deduplicate(_table(spark, folder, "documents")))
 
 
+def op6_warc_derivatives(spark: SparkSession, folder: str) -> DataFrame:
+    """The metadata and the conversion record of every page's response."""
+    return warc.derive(warc.responses(_table(spark, folder, "pages")))
+
+
 def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and how like they are to each other and to the next document's."""
     return fingerprints.compare_with_next(_table(spark, folder, "documents"))
@@ -59,7 +64,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_decontamination, op2_byte_bpe, op3_pii, op4_near_dedup, op5_substring_dedup, op7_fingerprints, op8_license_scan, op9_quality, op10_token_counts)
+    own = (op1_decontamination, op2_byte_bpe, op3_pii, op4_near_dedup, op5_substring_dedup, op6_warc_derivatives, op7_fingerprints, op8_license_scan, op9_quality, op10_token_counts)
     return {f.__name__: f for f in own}
 
 
