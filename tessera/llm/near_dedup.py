@@ -233,7 +233,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     large = again.filter(F.col("members") > SMALL_BUCKET).join(reps.select("rep", "bands"), "rep")
     steps = F.array(*(F.xxhash64("key", F.expr(f"bands[(band + {d}) % {BANDS}]")) for d in range(1, FINER + 1)))
     finer = large.select("rep", "class", F.explode(steps).alias("key"))
-    finer = _led(finer, "key").join(reps.select(F.col("rep").alias("leader")), "leader").filter("rep <> leader").select(*_ordered("rep", "leader"))
+    leading = roots.select(F.col("id").alias("leader"), F.col("root").alias("leader_root"))
+    finer = _led(finer.select("key", "rep", "class"), "key").join(leading, "leader", "left").filter(F.col("class") != F.coalesce("leader_root", "leader")).select(*_ordered("rep", "leader"))
     second = within.union(finer).distinct().join(first, ["a", "b"], "left_anti")
     roots = components(links.union(checkpointed(verified(checkpointed(second), docs, similarity))))
 
