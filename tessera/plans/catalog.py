@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.plans.model import Model
+from tessera.plans.statements import STATEMENTS
+
 Query = Callable[[SparkSession, str], DataFrame]
+ENTRIES: dict[str, tuple[Callable[[Model], DataFrame], str | None]] = {**STATEMENTS}
+
+
+def _query(run: Callable[[Model], DataFrame]) -> Query:
+    return lambda spark, folder: run(Model(spark, folder))
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: _query(run) for name, (run, _) in ENTRIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in ENTRIES.items() if sql}
