@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 #: Bytes of text that a Python step works on at once; it bounds the numpy arrays of a worker.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def share_code(spark: SparkSession) -> None:
