@@ -30,7 +30,7 @@ from tessera.llm._arrow import share_code, slices, text_buffers
 from tessera.llm._words import normalised_words, shingles, window_hashes
 
 UNIT = 64
-BLOCK = 8
+BLOCK = 4
 #: Share of a unit's weight that a passage must hold to be retrieved.
 THRESHOLD = 0.5
 #: Share of the question's and of the answer's shingles that must be found.
