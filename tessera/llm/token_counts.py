@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm._arrow import append_columns, slices, text_buffers
+from tessera.llm._arrow import append_columns, checkpointed, slices, text_buffers
 from tessera.llm.bpe import codec, default_path
 
 #: Lengths of one block of the histogram; sums over blocks come first, so that no window spans all lengths.
@@ -44,6 +44,7 @@ def limits(counts: DataFrame) -> DataFrame:
     documents of this length take in ascending order, from which any quantile follows. Between two lengths that occur,
     docs_within and tokens_within keep the lower one's values and truncated_total grows by docs_over for each token.
     """
+    counts = checkpointed(counts)  # read several times; a row for each length
     rows = counts.select("n_tokens", "docs", (F.col("n_tokens") * F.col("docs")).alias("tokens"), F.floor(F.col("n_tokens") / BLOCK).alias("block"))
     blocks = rows.groupBy("block").agg(F.sum("docs").alias("block_docs"), F.sum("tokens").alias("block_tokens"))
     # One row for 1024 lengths: as many as the longest document has thousands of tokens, whatever the corpus.
