@@ -188,17 +188,24 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY)
 
 
 def components(links: DataFrame) -> DataFrame:
-    """id, root: the least id that each linked id reaches. Labels spread over links and jump to their labels' labels."""
-    edges = checkpointed(links.select(F.col("a").alias("id"), F.col("b").alias("to")).union(links.select("b", "a")).distinct())
-    labels = checkpointed(edges.groupBy("id").agg(F.least(F.col("id"), F.min("to")).alias("root")))
-    while True:
-        near = edges.join(labels.select(F.col("id").alias("to"), "root"), "to").groupBy("id").agg(F.min("root").alias("near"))
-        spread = labels.join(near, "id").select("id", F.col("root").alias("was"), F.least("root", "near").alias("root"))
-        jump = labels.select(F.col("id").alias("root"), F.col("root").alias("far"))
-        new = checkpointed(spread.join(jump, "root").select("id", "was", F.least("root", "far").alias("root")))
-        labels = new.select("id", "root")
-        if new.filter("root <> was").isEmpty():
-            return labels
+    """id, root: the least id that each linked id reaches.
+
+    Each round every id takes its least neighbour (and that one's) as its parent, and links are drawn between parents
+    instead; links within one parent go. So the links shrink from round to round, stars vanish in the first.
+    """
+    edges = checkpointed(links.select("a", "b").distinct())
+    roots = None
+    while roots is None or not edges.isEmpty():
+        ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("to")), F.struct(F.col("b").alias("id"), F.col("a").alias("to")))).alias("e")).select("e.*")
+        parent = ends.groupBy("id").agg(F.least(F.col("id"), F.min("to")).alias("root"))
+        above = parent.select(F.col("id").alias("root"), F.col("root").alias("far"))
+        parent = checkpointed(parent.join(above, "root").select("id", F.col("far").alias("root")))
+        side = lambda c: parent.select(F.col("id").alias(c), F.col("root").alias(f"r{c}"))
+        drawn = edges.join(side("a"), "a").join(side("b"), "b").filter("ra <> rb").select(*_ordered("ra", "rb"))
+        edges = checkpointed(drawn.distinct())
+        step = parent.select(F.col("id").alias("root"), F.col("root").alias("next"))
+        roots = parent if roots is None else checkpointed(roots.join(step, "root", "left").select("id", F.coalesce("next", "root").alias("root")))
+    return roots
 
 
 def _ordered(a: str, b: str) -> list:
@@ -236,7 +243,14 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     leading = roots.select(F.col("id").alias("leader"), F.col("root").alias("leader_root"))
     finer = _led(finer.select("key", "rep", "class"), "key").join(leading, "leader", "left").filter(F.col("class") != F.coalesce("leader_root", "leader")).select(*_ordered("rep", "leader"))
     second = within.union(finer).distinct().join(first, ["a", "b"], "left_anti")
-    roots = components(links.union(checkpointed(verified(checkpointed(second), docs, similarity))))
+    # Further links join whole classes, so they are drawn between their least ids.
+    side = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"r{c}"))
+    late = verified(checkpointed(second), docs, similarity).join(side("a"), "a", "left").join(side("b"), "b", "left")
+    late = late.select(F.coalesce("ra", "a").alias("x"), F.coalesce("rb", "b").alias("y")).filter("x <> y").select(*_ordered("x", "y"))
+    joined = components(late)
+    upper = joined.select(F.col("id").alias("root"), F.col("root").alias("top"))
+    lower = roots.join(upper, "root", "left").select("id", F.coalesce("top", "root").alias("root"))
+    roots = lower.union(joined.join(roots.select("id"), "id", "left_anti").select("id", "root"))
 
     named = reps.select("h1", "h2", "rep").join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", "rep", F.coalesce("root", "rep").alias("class_id"))
     told = nodes.select("doc_id", "h1", "h2").join(named, ["h1", "h2"], "left")
