@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._arrow import share_code, slices, text_buffers
-from tessera.llm._words import normalised_words, shingles, window_hashes
+from tessera.llm._words import normalised_words, shingles
 
 UNIT = 64
 BLOCK = 4
@@ -189,8 +189,7 @@ class Searcher:
             for k in where[r, item]:
                 if (r, k) not in held:
                     part = words[rows[r] + k * UNIT : rows[r] + min((k + 2) * UNIT, int(counts[r]))]
-                    spans = [window_hashes(part, np.array([0, len(part)]), WIDTH)[1]]
-                    held[r, k] = np.concatenate(spans)
+                    held[r, k] = shingles(part, np.array([0, len(part)]), WIDTH)[0]
                 found.append(held[r, k])
             have = np.concatenate(found)
             shares = []
