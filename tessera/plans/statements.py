@@ -52,7 +52,7 @@ _add("get_document_by_source_path", lambda m: m.docs.filter(F.col("source_path")
 _add("list_documents_by_workspace", lambda m: S.documents_with_successor(m.docs, EN).select("id", "title", "collection", "superseded_by"), "docs", f"SELECT id, title, collection, (SELECT min(s.id) FROM docs s WHERE s.supersedes_id = d.id) AS superseded_by FROM docs d WHERE {WS}")
 _add("delete_document_by_id_and_workspace", lambda m: delete_where(m.docs, (F.col("id") == 17) & (F.col("workspace_hash") == EN)).select("id"), "docs", f"SELECT id FROM docs WHERE NOT (id = 17 AND {WS})")
 _add("update_documents_collection", lambda m: update_where(m.docs, (F.col("workspace_hash") == EN) & (F.col("collection") == "src1"), collection="renamed").select("id", "collection"), "docs", f"SELECT id, CASE WHEN {WS} AND collection = 'src1' THEN 'renamed' ELSE collection END AS collection FROM docs")
-_add("resolve_symbol_by_name", lambda m: S.resolve_symbol(m.docs, EN, "Released under the MIT License."), "docs", f"SELECT id, title, source_path FROM docs WHERE {WS} AND title = 'That it.' AND json_extract_string(metadata, '$.source_type') = 'symbol'")
+_add("resolve_symbol_by_name", lambda m: S.resolve_symbol(m.docs, EN, "That it."), "docs", f"SELECT id, title, source_path FROM docs WHERE {WS} AND title = 'That it.' AND json_extract_string(metadata, '$.source_type') = 'symbol'")
 _add("list_symbols_by_workspace", lambda m: S.list_symbols(m.docs, EN, "The", "en", 50), "docs", f"SELECT id, title, source_path FROM docs WHERE {WS} AND json_extract_string(metadata, '$.source_type') = 'symbol' AND title ILIKE '%the%' AND json_extract_string(metadata, '$.kind') = 'en' ORDER BY title, id LIMIT 50")
 _add("delete_symbol_documents_by_collection", lambda m: delete_where(m.docs, (F.col("collection") == "src1") & (S.json_text("metadata", "source_type") == "symbol")).select("id"), "docs", "SELECT id FROM docs WHERE NOT (collection = 'src1' AND json_extract_string(metadata, '$.source_type') = 'symbol')")
 _add("list_tags_by_workspace", lambda m: S.tag_counts(m.docs, EN), "docs", f"SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM docs WHERE {WS}) GROUP BY tag")
