@@ -84,7 +84,7 @@ def memories(df: DataFrame, content: str = "content") -> DataFrame:
         found.append((order, kind, lines))
         found.append((order + 2, kind, sections))
     rows = F.flatten(F.array(*(F.transform(values, _memory(kind, order)) for order, kind, values in found)))
-    made = df.select("id", F.explode(rows).alias("m")).select("id", "m.*").withColumn("memory", F.trim("memory")).filter("memory <> ''")
+    made = df.select("id", F.explode(rows).alias("m")).select("id", "m.*").withColumn("memory", F.regexp_replace("memory", r"^\s+|\s+$", "")).filter("memory <> ''")
     first = made.groupBy("id", "kind", "memory").agg(F.min("order").alias("order"))
     head = F.split_part("memory", F.lit("\n"), F.lit(1))
     title = F.when(F.length(head) > 80, F.concat(F.left(head, F.lit(77)), F.lit("..."))).otherwise(head)
