@@ -107,6 +107,31 @@ def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 100, tol
     return ranks.crossJoin(F.broadcast(top)).select("node", (F.col("score") / F.col("__top")).alias("score"))
 
 
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """id, root: the least id that each linked id reaches.
+
+    Each round every id takes its least neighbour as its parent, parents are followed to their ends (each step doubles
+    the way), and links are drawn between these ends instead; links within one go. Stars and chains take one round.
+    """
+    edges = settled(links.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct())
+    roots = None
+    while roots is None or not edges.isEmpty():
+        both = F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("to")), F.struct(F.col("b").alias("id"), F.col("a").alias("to")))
+        parent = settled(edges.select(F.explode(both).alias("e")).groupBy("e.id").agg(F.least(F.col("id"), F.min("e.to")).alias("root")))
+        moving = True
+        while moving:
+            above = parent.select(F.col("id").alias("root"), F.col("root").alias("far"))
+            jumped = settled(parent.join(above, "root").select("id", "root", "far"))
+            moving = not jumped.filter("root <> far").isEmpty()
+            parent = jumped.select("id", F.col("far").alias("root"))
+        side = lambda c: parent.select(F.col("id").alias(c), F.col("root").alias(f"r{c}"))
+        drawn = edges.join(side("a"), "a").join(side("b"), "b").filter("ra <> rb")
+        edges = settled(drawn.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        step = parent.select(F.col("id").alias("root"), F.col("root").alias("next"))
+        roots = parent if roots is None else settled(roots.join(step, "root", "left").select("id", F.coalesce("next", "root").alias("root")))
+    return roots
+
+
 def role(name: Column) -> Column:
     low = F.lower(name)
     out = F.lit("function")

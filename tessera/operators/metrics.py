@@ -58,3 +58,9 @@ def regressions(baseline: dict[str, float], new: dict[str, float]) -> dict[str,
     if "p95_ms" in baseline and new.get("p95_ms", 0) > LATENCY_FACTOR * baseline["p95_ms"]:
         failed["p95_ms"] = f"{baseline['p95_ms']:.1f} -> {new['p95_ms']:.1f}"
     return failed
+
+
+def retrieval_set(docs: DataFrame, size: int, seed: int = 42) -> DataFrame:
+    """query, relevant_doc_ids, relevant_source_paths: ``size`` titled documents in an order that the seed fixes; a title asks for its documents."""
+    titled = docs.filter("trim(title) <> ''").groupBy(F.trim("title").alias("query")).agg(F.sort_array(F.collect_set("id")).alias("relevant_doc_ids"), F.sort_array(F.collect_set("source_path")).alias("relevant_source_paths"))
+    return titled.orderBy(F.xxhash64("query", F.lit(seed)), "query").limit(size)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.queries import TextQuery, keywords
+from tessera.operators.graph import components
 from tessera.operators.merging import page
 
 WORD = r"[\p{L}\p{N}_]+"
@@ -209,6 +210,46 @@ def rrf(legs: list[DataFrame], k: DataFrame | float = 60.0) -> DataFrame:
     return every.groupBy("id").agg(F.sum(1 / (F.col("k") + F.col("rank") + 1)).alias("score"))
 
 
+def fold(legs: list[DataFrame], base: float = 60.0, limit: int = 200) -> DataFrame:
+    """id, score, leg, rank of many ranked lists fused pair by pair from the left; leg is the first list that has the row."""
+    first = legs[0].select("id", F.lit(0).alias("leg"))
+    for n, leg in enumerate(legs[1:], 1):
+        first = first.union(leg.select("id", F.lit(n)))
+    total = legs[0]
+    for leg in legs[1:]:
+        total = ranked(rrf([total, leg], dynamic_k(total, leg, base)), "fused", limit)
+    return total.drop("leg").join(first.groupBy("id").agg(F.min("leg").alias("leg")), "id")
+
+
+def vector_clusters(df: DataFrame, threshold: float = 0.85, id_column: str = "id", column: str = "embedding", tables: int = 24, bits: int = 12, seed: int = 5) -> DataFrame:
+    """id, root: vectors joined by cosine similarity from ``threshold`` on.
+
+    Random hyperplanes give each vector a bucket in each of ``tables`` tables; a bucket's members are held against its
+    leader (another one in each table) exactly, and links are closed transitively. So buckets make no pairs of all their
+    members; a chain of pairs that share no leader can be missed. Vectors on their own have no row.
+    """
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes = None
+        for batch in batches:
+            n = batch.num_rows
+            x = batch.column(1).flatten().to_numpy().astype(np.float64).reshape(n, -1) if n else np.zeros((0, 1))
+            if planes is None:
+                planes = np.random.default_rng(seed).normal(size=(x.shape[1], tables * bits))
+            signs = ((x @ planes) > 0).reshape(n, tables, bits)
+            keys = (signs * (1 << np.arange(bits))).sum(axis=2) + (np.arange(tables) << bits)
+            ids = np.repeat(batch.column(0).to_numpy(), tables)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys.ravel(), pa.int64())], names=["id", "key"])
+
+    rows = df.select(F.col(id_column).cast("long").alias("id"), F.col(column).alias("v"))
+    buckets = rows.mapInArrow(step, "id long, key long")
+    flip = F.xxhash64("key")
+    lead = buckets.groupBy("key").agg(F.min(F.col("id").bitwiseXOR(flip)).alias("least"), F.count("*").alias("n")).filter("n > 1").select("key", F.col("least").bitwiseXOR(flip).alias("leader"))
+    pairs = buckets.join(lead, "key").filter("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+    side = lambda c: rows.select(F.col("id").alias(c), F.col("v").alias(f"v{c}"))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").filter(cosine(F.col("va"), F.col("vb")) >= threshold).select("a", "b")
+    return components(near)
+
+
 def clean_path(path: Column) -> Column:
     """Lower case, without doubled and trailing slashes and '.' steps; .agents/ counts as .agent/."""
     low = F.regexp_replace(F.regexp_replace(F.lower(path), r"/(\./)+", "/"), r"/{2,}", "/")

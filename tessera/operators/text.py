@@ -220,3 +220,30 @@ def best_prefix(paths: DataFrame, prefixes: DataFrame) -> DataFrame:
 def merge_latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The last row of each key by a total order."""
     return df.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__r = 1").drop("__r")
+
+
+def summary_batches(symbols: DataFrame, size: int = 30, longest: int = 500) -> DataFrame:
+    """``symbols`` (workspace_hash, id, content) with batch and tokens: texts of over ``longest`` lines alone, others ``size`` together.
+
+    tokens is the estimate that a request is planned with: 150, and for each symbol 25 and a quarter of its length.
+    """
+    alone = F.size(F.split("content", "\n")) > longest
+    order = Window.partitionBy("workspace_hash", alone).orderBy("id")
+    n = F.row_number().over(order).cast("long") - 1
+    batch = F.when(alone, F.concat(F.lit("long-"), n.cast("string"))).otherwise(F.concat(F.lit("batch-"), F.floor(n / size).cast("string")))
+    rows = symbols.withColumn("batch", batch)
+    per = Window.partitionBy("workspace_hash", "batch")
+    return rows.withColumn("tokens", 150 + F.sum(25 + F.floor(F.length("content") / 4)).over(per))
+
+
+def fold_summaries(parts: DataFrame, summarise, batch: int = 10, depth: int = 3) -> DataFrame:
+    """key, summary: parts (key, place, text) summarised ``batch`` at a time until one is left, ``depth`` times at most.
+
+    ``summarise`` maps a DataFrame with key, place, text to the same columns, one row each; a model or a plain function.
+    """
+    level = parts.select("key", "place", "text")
+    for _ in range(depth):
+        joined = level.groupBy("key", F.floor(F.col("place") / batch).alias("place")).agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("ps"))
+        level = summarise(joined.select("key", "place", F.array_join(F.transform("ps", lambda p: p["text"]), "\n").alias("text"))).select("key", "place", "text")
+    rest = level.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("ps"))
+    return rest.select("key", F.array_join(F.transform("ps", lambda p: p["text"]), "\n").alias("summary"))

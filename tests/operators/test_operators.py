@@ -206,3 +206,37 @@ def test_incremental_ingest(spark, tmp_path):
         stream = spark.readStream.schema("id int, v string").parquet(src)
         feeds.ingest(stream, out, str(tmp_path / "cp"), merge).awaitTermination()
     assert sorted(tuple(r) for r in spark.read.parquet(f"{out}/v=1").collect()) == [(1, "a"), (2, "B"), (3, "c")]
+
+
+def test_fold_of_three_legs(spark):
+    a, b, c = leg(spark, "xyz"), leg(spark, "yzw"), leg(spark, "wvu")
+    got = {r.id: r.leg for r in search.fold([a, b, c]).collect()}
+    assert got == {"x": 0, "y": 0, "z": 0, "w": 1, "v": 2, "u": 2}
+
+
+def test_vector_clusters(spark):
+    import random
+
+    r = random.Random(1)
+    base = [[r.gauss(0, 1) for _ in range(16)] for _ in range(6)]
+    rows = [(k * 10 + j, [x + r.gauss(0, 0.05) for x in v]) for k, v in enumerate(base) for j in range(4)]
+    got = {x.id: x.root for x in search.vector_clusters(spark.createDataFrame(rows, "id long, embedding array<double>")).collect()}
+    assert got == {i: i // 10 * 10 for i, _ in rows}
+
+
+def test_components(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(30)] + [(100, 101), (100, 102)], "a long, b long")
+    got = {r.id: r.root for r in G.components(chain).collect()}
+    assert got == {k: 0 for k in range(31)} | {k: 100 for k in (100, 101, 102)}
+    assert G.components(chain.limit(0)).count() == 0
+
+
+def test_retrieval_set_and_batches(spark):
+    docs = spark.createDataFrame([(1, "a", "/1"), (2, "a ", "/2"), (3, "", "/3"), (4, "b", "/4")], "id long, title string, source_path string")
+    got = {r.query: r.relevant_doc_ids for r in metrics.retrieval_set(docs, 5).collect()}
+    assert got == {"a": [1, 2], "b": [4]}
+    rows = spark.createDataFrame([("w", k, "x" * 8) for k in range(31)] + [("w", 99, "l\n" * 600)], "workspace_hash string, id long, content string")
+    sizes = {(r.batch, r.tokens): r["count"] for r in text.summary_batches(rows).groupBy("batch", "tokens").count().collect()}
+    assert sizes == {("batch-0", 150 + 30 * 27): 30, ("batch-1", 177): 1, ("long-0", 150 + 25 + 300): 1}
+    parts = spark.createDataFrame([("k", p, f"t{p}") for p in range(25)], "key string, place long, text string")
+    assert text.fold_summaries(parts, lambda d: d.withColumn("text", F.upper("text"))).first().summary == "\n".join(f"T{p}" for p in range(25))
