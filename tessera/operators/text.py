@@ -27,8 +27,11 @@ BOTS = ("[bot]", "dependabot", "renovate", "github-actions")
 
 
 def ascii_words(pattern: str) -> str:
-    r"""The pattern with \b at ASCII words only; Java's own \b also counts other letters."""
-    return pattern.replace(r"\b", r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))")
+    r"""The pattern with a leading \b and a trailing \b at ASCII words only; Java's own \b also counts other letters.
+
+    Both stand next to word characters, so each is one look to a side.
+    """
+    return re.sub(r"\\b$", "(?![A-Za-z0-9_])", re.sub(r"^\\b", "(?<![A-Za-z0-9_])", pattern))
 
 
 def semantic_tags(title: Column, content: Column) -> Column:
