@@ -9,8 +9,11 @@ the points before all its components are filled, however heavy its shingles are.
 Bands of ROWS components send documents to buckets. In each bucket all members are held against one leader (by exact
 multiset overlap of the texts), the leader being another one in each band. Buckets whose members then still lie in
 several classes are looked at again: small ones by all pairs of their classes, larger ones by leaders within finer
-buckets (two bands at a time). So no bucket emits its pairs, and work grows with its members. Classes are the connected
-components of the verified links. Texts with the same normalised words are one node, so exact copies make no pairs.
+buckets (two bands at a time). Larger ones that hold several classes even then are compared in full, block against
+block, all members of different classes; such a block emits at most a link a member. So every pair that shares a bucket
+is compared or is in one class already, and work grows with members times those of other classes. Classes are the
+connected components of the verified links. Texts with the same normalised words are one node, so exact copies make no
+pairs.
 
 Words are lower case without ASCII punctuation at their ends; a text of one to four words is one shingle. Defined
 results: null, empty and wordless texts are copies of one another; of a class the least id stays; rows with equal ids
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm._arrow import checkpointed, list_array, share_code, slices, text_buffers
@@ -38,6 +41,8 @@ BANDS, ROWS = 25, 5
 SMALL_BUCKET = 32
 #: Finer buckets join a band with each of the next so many.
 FINER = 3
+#: Bytes of the texts of a block of a larger bucket (a text counts as 1 kB at least).
+BLOCK_BYTES = 1 << 20
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -218,6 +223,94 @@ def _led(buckets: DataFrame, key: str) -> DataFrame:
     return buckets.join(lead.select(key, "members", F.col("least").bitwiseXOR(F.col(key)).alias("leader")), key)
 
 
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of each text, the copies of one shingle numbered, so that the overlap of multisets is that of sets; row positions."""
+    row, key, count = bags(*shingles(*normalised_words(texts), WIDTH))
+    base = np.repeat(np.arange(len(row)), count)
+    copy = np.arange(len(base)) - np.repeat(np.cumsum(count) - count, count)
+    rows = np.searchsorted(row[base], np.arange(len(texts) + 1))
+    return mix(key[base] ^ (copy.astype(np.uint64) * _GOLD), 9), rows
+
+
+def block_links(left: np.ndarray, class_of: np.ndarray, texts: pa.Array, similarity: float) -> list[tuple[int, int]]:
+    """Rows (i, j) that link all classes among these texts that have a similar pair; ``left`` rows meet the others, or all meet all if none are others."""
+    tokens, rows = _tokens(texts)
+    known, tokens = np.unique(tokens, return_inverse=True)
+    size = np.diff(rows)
+    root = np.unique(class_of, return_inverse=True)[1]
+    one, two = np.flatnonzero(left), np.flatnonzero(~left)
+    if not len(two):
+        two = one
+    elif len(one) > len(two):
+        one, two = two, one
+    parts = [tokens[rows[j] : rows[j + 1]] for j in two.tolist()]
+    flat = np.concatenate(parts)
+    begin = np.concatenate([[0], np.cumsum(size[two])])
+    held, out = np.zeros(len(known), bool), []
+    for i in one.tolist():
+        able = np.flatnonzero((root[two] != root[i]) & (np.minimum(size[two], size[i]) >= similarity * np.maximum(size[two], size[i]) - 1e-9))
+        if not len(able):
+            continue
+        own = tokens[rows[i] : rows[i + 1]]
+        held[own] = True
+        if 2 * len(able) > len(two):
+            run = np.concatenate([[0], np.cumsum(held[flat])])
+            common = (run[begin[1:]] - run[begin[:-1]])[able]
+        else:
+            run = np.concatenate([[0], np.cumsum(held[np.concatenate([parts[k] for k in able.tolist()])])])
+            at = np.concatenate([[0], np.cumsum(size[two[able]])])
+            common = run[at[1:]] - run[at[:-1]]
+        held[own] = False
+        total = size[i] + size[two[able]] - common
+        for j in two[able[common / total >= similarity]].tolist():
+            if root[i] != root[j]:
+                out.append((i, j))
+                root[root == root[j]] = root[i]
+    return out
+
+
+def _exhausted(members: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between the classes of each bucket of ``members`` (key, rep, class), all pairs of different classes compared in blocks."""
+    share_code(docs.sparkSession)
+    sized = members.join(docs.select(F.col("doc_id").alias("rep"), F.greatest(F.octet_length("text"), F.lit(1024)).cast("long").alias("bytes")).groupBy("rep").agg(F.sum("bytes").alias("bytes")), "rep")
+    before = Window.partitionBy("key").orderBy("class", "rep").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sized = checkpointed(sized.select("key", "rep", "class", F.floor(F.sum("bytes").over(before) / BLOCK_BYTES).alias("block")))
+    blocks = sized.groupBy("key", "block").agg(F.min("class").alias("low"), F.max("class").alias("high"))
+    others = blocks.select("key", F.col("block").alias("block2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    met = blocks.join(others, "key").filter("block <= block2 and least(low, low2) < greatest(high, high2)")
+    sides = met.select("key", F.explode(F.array_distinct(F.array("block", "block2"))).alias("own"), F.col("block").alias("i"), F.col("block2").alias("j"))
+    dealt = sides.join(sized.withColumnRenamed("block", "own"), ["key", "own"])
+    dealt = dealt.join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep").select("key", "i", "j", "own", "rep", "class", "text")
+
+    def step(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        left = np.asarray(group.column("own")) == np.asarray(group.column("i"))
+        reps = np.asarray(group.column("rep"))
+        found = block_links(left, np.asarray(group.column("class")), group.column("text"), similarity)
+        a, b = reps[[i for i, _ in found]], reps[[j for _, j in found]]
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+    return dealt.groupBy("key", "i", "j").applyInArrow(step, "a long, b long").distinct()
+
+
+def _widened(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` (id, root) after further links (a, b), which join whole classes, so they are drawn between their least ids."""
+    side = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"r{c}"))
+    drawn = links.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    drawn = drawn.select(F.coalesce("ra", "a").alias("x"), F.coalesce("rb", "b").alias("y")).filter("x <> y").select(*_ordered("x", "y"))
+    joined = components(drawn)
+    upper = joined.select(F.col("id").alias("root"), F.col("root").alias("top"))
+    lower = roots.join(upper, "root", "left").select("id", F.coalesce("top", "root").alias("root"))
+    return lower.union(joined.join(roots.select("id"), "id", "left_anti").select("id", "root"))
+
+
+def _mixed(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members of those buckets (key, rep, ...) that hold several classes, with their class."""
+    classed = buckets.join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("class", F.coalesce("root", "rep")).drop("root")
+    mixed = classed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("key")
+    return checkpointed(classed.join(mixed, "key"))
+
+
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, copy_of (least id with the same normalised words), class_id (least id of the class), keep (whether it is that one)."""
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -231,9 +324,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     roots = components(links)
 
     # Buckets that still hold several classes.
-    classed = buckets.join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("class", F.coalesce("root", "rep"))
-    mixed = classed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("key")
-    again = checkpointed(classed.join(mixed, "key").select("key", "band", "rep", "class", "members"))
+    again = _mixed(buckets.select("key", "band", "rep", "members"), roots)
     small = again.filter(F.col("members") <= SMALL_BUCKET).select("key", "rep", "class")
     other = small.select("key", F.col("rep").alias("rep2"), F.col("class").alias("class2"))
     within = small.join(other, "key").filter("class < class2").select(*_ordered("rep", "rep2"))
@@ -243,14 +334,12 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     leading = roots.select(F.col("id").alias("leader"), F.col("root").alias("leader_root"))
     finer = _led(finer.select("key", "rep", "class"), "key").join(leading, "leader", "left").filter(F.col("class") != F.coalesce("leader_root", "leader")).select(*_ordered("rep", "leader"))
     second = within.union(finer).distinct().join(first, ["a", "b"], "left_anti")
-    # Further links join whole classes, so they are drawn between their least ids.
-    side = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"r{c}"))
-    late = verified(checkpointed(second), docs, similarity).join(side("a"), "a", "left").join(side("b"), "b", "left")
-    late = late.select(F.coalesce("ra", "a").alias("x"), F.coalesce("rb", "b").alias("y")).filter("x <> y").select(*_ordered("x", "y"))
-    joined = components(late)
-    upper = joined.select(F.col("id").alias("root"), F.col("root").alias("top"))
-    lower = roots.join(upper, "root", "left").select("id", F.coalesce("top", "root").alias("root"))
-    roots = lower.union(joined.join(roots.select("id"), "id", "left_anti").select("id", "root"))
+    roots = checkpointed(_widened(roots, verified(checkpointed(second), docs, similarity)))
+
+    # Larger buckets that hold several classes even then.
+    rest = _mixed(again.filter(F.col("members") > SMALL_BUCKET).select("key", "rep"), roots)
+    if not rest.isEmpty():
+        roots = _widened(roots, checkpointed(_exhausted(rest, docs, similarity)))
 
     named = reps.select("h1", "h2", "rep").join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", "rep", F.coalesce("root", "rep").alias("class_id"))
     told = nodes.select("doc_id", "h1", "h2").join(named, ["h1", "h2"], "left")

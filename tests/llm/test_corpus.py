@@ -194,6 +194,49 @@ def test_near_duplicates_of_large_groups(spark):
     assert got == near_dedup.brute_force(rows)
 
 
+def test_near_duplicates_around_a_hub(spark):
+    """2,000 copies that are similar to one text, but not to each other, are one class with it, whatever leads a bucket."""
+    r = random.Random(12)
+    base = _words(r, 204).split()
+    rows = [(5000, " ".join(base))]
+    for i in range(2000):
+        own = base[:]
+        for k in range(4):
+            own[50 * k + r.randrange(6, 44)] = f"own{i}x{k}"
+        rows.append((i, " ".join(own)))
+    bag = near_dedup._bag_list(pa.array([t for _, t in rows]))
+    assert min(near_dedup.bag_similarity(bag[0], b) for b in bag[1:]) >= 0.8
+    apart = [near_dedup.bag_similarity(bag[r.randrange(1, 2001)], bag[r.randrange(1, 2001)]) < 0.8 for _ in range(500)]
+    assert sum(apart) > 400
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 2001 and {x.class_id for x in got} == {0}
+    some = rows[:150]
+    got = {x.doc_id: x.class_id for x in near_dedup.near_duplicates(spark.createDataFrame(some, "doc_id long, text string")).collect()}
+    assert got == near_dedup.brute_force(some)
+
+
+def test_near_duplicates_block_links():
+    """Blocks link the same classes as all pairs, within one block and between two."""
+    r = random.Random(13)
+    texts = []
+    for _ in range(12):
+        base = _words(r, 60).split() + ["r"] * r.randint(0, 9)
+        for _ in range(5):
+            own = base[:]
+            own[r.randrange(40)] = _words(r, 1)
+            texts.append(" ".join(own[r.randint(0, 4) :]))
+    want = near_dedup.brute_force(list(enumerate(texts)))
+    bag = near_dedup._bag_list(pa.array(texts))
+    for left in (np.ones(60, bool), np.arange(60) % 3 == 0):
+        found = near_dedup.block_links(left, np.arange(60), pa.array(texts), 0.8)
+        assert all(near_dedup.bag_similarity(bag[i], bag[j]) >= 0.8 for i, j in found)
+        assert len(found) == len({tuple(sorted(p)) for p in found})
+        if left.all():
+            assert len(found) == 60 - len(set(want.values()))
+        else:
+            assert all(left[i] != left[j] for i, j in found) and {want[i] == want[j] for i, j in found} == {True}
+
+
 def test_bagminhash_is_unbiased():
     one = " ".join(f"w{i}" for i in range(150)) + " r" * 40
     two = " ".join(f"w{i}" for i in range(30, 160)) + " r" * 15
