@@ -8,7 +8,7 @@ Query: every text is cut into passages of 2 * UNIT words that overlap by half, s
 in one. Passages whose terms' greatest weights stay below the threshold end there; sums of block maxima then name the
 blocks that can reach it; within these the postings are walked with WAND pivots. All units at or above the threshold
 are retrieved. The retrieved pairs are verified: shares of the five-word shingles of the question, and of the answer,
-that the passages hold.
+that the passages hold; a side of one to four words must occur as a whole.
 
 An item's answer is its last third unless the items have columns question and answer. The index is built from blocks of
 items of bounded size, one search for each block, so it need not fit in memory as a whole. Defined results: null, empty
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._arrow import share_code, slices, text_buffers
-from tessera.llm._words import normalised_words, shingles
+from tessera.llm._words import normalised_words, window_hashes
 
 UNIT = 64
 BLOCK = 4
@@ -43,19 +43,26 @@ INDEX_BYTES = 16 << 20
 DENSE = 1 << 22
 
 
+def _windows(words: np.ndarray, width: int) -> np.ndarray:
+    return window_hashes(words, np.array([0, len(words)]), width)[1] if len(words) >= width else np.zeros(0, np.uint64)
+
+
+def _side(text: str | None) -> tuple[int, np.ndarray]:
+    """Width and hashes of the windows of a question or answer: WIDTH words, or all of them if there are fewer."""
+    words, _ = normalised_words(pa.array([text or ""]))
+    width = min(WIDTH, max(1, len(words)))
+    return width, np.unique(_windows(words, width))
+
+
 class Index:
     """Inverted index of units, with block maxima."""
 
     def __init__(self, items: list[tuple[int, str, str]]):
         """``items``: (item_id, question, answer)."""
         units: list[tuple[int, np.ndarray]] = []
-        self.shingles: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.sides: dict[int, tuple[tuple[int, np.ndarray], ...]] = {}
         for item, question, answer in items:
-            sides = []
-            for text in (question, answer):
-                hashes, _ = shingles(*normalised_words(pa.array([text or ""])), WIDTH)
-                sides.append(np.unique(hashes))
-            self.shingles[item] = (sides[0], sides[1])
+            self.sides[item] = (_side(question), _side(answer))
             words, _ = normalised_words(pa.array([f"{question or ''} {answer or ''}"]))
             parts = -(-len(words) // UNIT)
             units += [(item, part) for part in np.array_split(words, parts)] if parts else []
@@ -183,17 +190,14 @@ class Searcher:
         return list(self._verify(words, rows, counts, scores, where))
 
     def _verify(self, words, rows, counts, scores, where) -> Iterator[tuple[int, int, float, float, float]]:
-        held: dict[tuple[int, int], np.ndarray] = {}
+        held: dict[tuple[int, int, int], np.ndarray] = {}
         for (r, item), total in scores.items():
-            found = []
-            for k in where[r, item]:
-                if (r, k) not in held:
-                    part = words[rows[r] + k * UNIT : rows[r] + min((k + 2) * UNIT, int(counts[r]))]
-                    held[r, k] = shingles(part, np.array([0, len(part)]), WIDTH)[0]
-                found.append(held[r, k])
-            have = np.concatenate(found)
             shares = []
-            for side in self.index.shingles[item]:
+            for width, side in self.index.sides[item]:
+                for k in where[r, item]:
+                    if (r, k, width) not in held:
+                        held[r, k, width] = _windows(words[rows[r] + k * UNIT : rows[r] + min((k + 2) * UNIT, int(counts[r]))], width)
+                have = np.concatenate([held[r, k, width] for k in where[r, item]])
                 shares.append(float(np.isin(side, have).mean()) if len(side) else 1.0)
             if min(shares) >= self.overlap:
                 yield r, item, total, shares[0], shares[1]
@@ -244,9 +248,10 @@ def contaminated(df: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
 def brute_force(rows: list[tuple[int, str | None]], items: list[tuple[int, str, str]], overlap: float = OVERLAP) -> set[tuple[int, int]]:
     """Pairs whose overlaps in the document as a whole reach ``overlap``; for tests."""
     out = set()
-    bags = {d: set(shingles(*normalised_words(pa.array([t or ""])), WIDTH)[0].tolist()) for d, t in rows}
+    words = {d: normalised_words(pa.array([t or ""]))[0] for d, t in rows}
+    bags = {(d, width): set(_windows(w, width).tolist()) for d, w in words.items() for width in range(1, WIDTH + 1)}
     for item, question, answer in items:
-        sides = [set(shingles(*normalised_words(pa.array([x or ""])), WIDTH)[0].tolist()) for x in (question, answer)]
-        if any(sides):
-            out |= {(d, item) for d, bag in bags.items() if all(not s or len(s & bag) >= overlap * len(s) for s in sides)}
+        sides = [(width, set(side.tolist())) for width, side in (_side(question), _side(answer))]
+        if any(s for _, s in sides):
+            out |= {(d, item) for d in words if all(not s or len(s & bags[d, w]) >= overlap * len(s) for w, s in sides)}
     return out

@@ -261,6 +261,24 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.contaminated(empty, table).count() == 0 and decontaminate.contaminated(df, table.limit(0)).count() == 0
 
 
+def test_decontamination_of_short_sides(spark):
+    """Questions and answers of one to four words, and items of 6 to 9 words, inside long texts."""
+    r = random.Random(21)
+    answers = ["Paris", "42", "B", "the red house", "one two three four"]
+    items = [(k, _words(r, 20), a) for k, a in enumerate(answers)] + [(9, "who knows", "nobody knows that at all then")]
+    rows = [(k, f"{_words(r, 300)} {q} {a.upper()}. {_words(r, 200)}") for k, q, a in items]
+    rows += [(50, f"{_words(r, 300)} {items[0][1]} London {_words(r, 200)}"), (51, f"{_words(r, 90)} Paris {_words(r, 90)}"), (52, f"{_words(r, 99)} {items[4][1]} four three two one")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    table = spark.createDataFrame(items, "item_id long, question string, answer string")
+    got = {(x.doc_id, x.item_id) for x in decontaminate.contaminated(df, table).collect()}
+    assert got == {(k, k) for k in (0, 1, 2, 3, 4, 9)} == decontaminate.brute_force(rows, items)
+    short = [(n, " ".join(f"word{n}x{k}" for k in range(n))) for n in range(1, 11)]
+    rows = [(n, f"{_words(r, 250)} {t}; {_words(r, 150)}") for n, t in short]
+    table = spark.createDataFrame(short, "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), table).collect()}
+    assert got == {(n, n) for n in range(1, 11)}
+
+
 def test_decontamination_walk_equals_full_scores():
     r = random.Random(3)
     index = decontaminate.Index([(k, _words(r, 30), _words(r, 10)) for k in range(40)])
