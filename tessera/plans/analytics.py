@@ -228,7 +228,7 @@ _add("stream_event_counts", _windows, "", "SELECT strftime(date_trunc('day', ts)
 
 
 def _stream_sessions(m: Model) -> DataFrame:
-    got = feeds.run_to_table(feeds.user_sessions(feeds.follow(m.spark, m.folder, "events")), "stream_user_sessions", "complete")
+    got = feeds.run_to_table(feeds.user_sessions(feeds.follow(m.spark, m.folder, "events"), late=None), "stream_user_sessions", "complete")
     return got.groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("events"))
 
 

@@ -21,9 +21,14 @@ def event_counts(events: DataFrame, width: str = "1 day", late: str = "2 hours")
     return timed.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
-def user_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
-    """user_id, start, end, n of each run of events without a gap."""
-    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+def user_sessions(events: DataFrame, gap: str = "30 minutes", late: str | None = "2 hours") -> DataFrame:
+    """user_id, start, end, n of each run of events without a gap.
+
+    The watermark bounds the state, and rows behind it are dropped in every output mode; with ``late`` None there is none,
+    so all events count whatever their order.
+    """
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    timed = timed if late is None else timed.withWatermark("ts", late)
     return timed.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 

@@ -1,5 +1,7 @@
 """Registered queries against their DuckDB SQL on the smallest tables, and the driver's entry points."""
 
+import datetime
+import os
 from pathlib import Path
 
 import duckdb
@@ -57,3 +59,23 @@ def test_filters_reach_the_scan_and_columns_are_pruned(spark):
     assert "lang" not in plan.split("ReadSchema")[1]
     plan = catalog.queries()["sql_get_document_by_id"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(doc_id,17)" in plan
+
+
+def test_sessions_count_all_events_of_many_files_out_of_order(spark, tmp_path):
+    """More files than two triggers take, the latest day first (a watermark drops rows from the third on)."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from tessera.plans.analytics import ANALYTICS
+
+    folder = tmp_path / "events.parquet"
+    folder.mkdir()
+    for k in range(203):
+        day = datetime.datetime(2024, 6, 30) - datetime.timedelta(days=k)
+        path = folder / f"part-{k:03}.parquet"
+        pq.write_table(pa.table({"event_id": [2 * k, 2 * k + 1], "user_id": [1, 1], "ts": pa.array([day, day + datetime.timedelta(minutes=5)], pa.timestamp("us"))}), path)
+        os.utime(path, (1_700_000_000 + k, 1_700_000_000 + k))
+    got = ANALYTICS["stream_user_sessions"][0](SimpleNamespace(spark=spark, folder=str(tmp_path))).collect()
+    assert [tuple(r) for r in got] == [(1, 203, 406)]
