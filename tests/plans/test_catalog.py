@@ -79,3 +79,18 @@ def test_sessions_count_all_events_of_many_files_out_of_order(spark, tmp_path):
         os.utime(path, (1_700_000_000 + k, 1_700_000_000 + k))
     got = ANALYTICS["stream_user_sessions"][0](SimpleNamespace(spark=spark, folder=str(tmp_path))).collect()
     assert [tuple(r) for r in got] == [(1, 203, 406)]
+
+
+def test_entities_and_links_read_whole_contents(spark, duck):
+    from types import SimpleNamespace
+
+    from tessera.plans.analytics import ANALYTICS
+
+    chunks = spark.createDataFrame([(1, "Größe año fn"), (2, "größe; the_map")], "document_id long, content string")
+    got = {tuple(r) for r in ANALYTICS["text_entities"][0](SimpleNamespace(chunks=chunks)).collect()}
+    assert got == {("größe", 2), ("año", 1), ("the_map", 1)}
+    docs = spark.createDataFrame([(1, "a [[Other]] b", "src0"), (2, None, "other")], "id long, content string, collection string")
+    got = {(r.id, r.target, r.target_id) for r in ANALYTICS["text_links"][0](SimpleNamespace(docs=docs)).collect()}
+    assert (1, "Other", 2) in got and {(1, "SRC0", 1), (2, "OTHER", 2)} <= got
+    sql = {tuple(map(plain, r)) for r in duck.sql(entry.oracle_sql()["text_links"]).fetchall()}
+    assert {tuple(map(plain, r)) for r in entry.queries()["text_links"](spark, FOLDER).collect()} == sql
