@@ -28,11 +28,15 @@ def share_code(spark: SparkSession) -> None:
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written once to the folder of spark.checkpoint.dir, which all executors share; the lineage ends there.
 
-    Only a session without that setting, as in tests on one machine, gets a folder of its own.
+    Only a session on one machine (local master) without that setting, as in tests, gets a folder of its own; a cluster
+    without it is an error, as its executors would not share such a folder.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not (sc.master or "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-"))
     return df.checkpoint(eager=True)
 
 

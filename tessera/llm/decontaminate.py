@@ -10,23 +10,29 @@ blocks that can reach it; within these the postings are walked with WAND pivots.
 are retrieved. The retrieved pairs are verified: shares of the five-word shingles of the question, and of the answer,
 that the passages hold; a side of one to four words must occur as a whole.
 
-An item's answer is its last third unless the items have columns question and answer. The index is built from blocks of
-items of bounded size, one search for each block, so it need not fit in memory as a whole. Defined results: null, empty
-and wordless texts match nothing, likewise items without words; equal items each match; repeated rows match each; an
-empty table on either side gives an empty result; other columns are ignored.
+An item's answer is its last third unless the items have columns question and answer; a question or answer of one to
+four words counts as held where these words stand next to each other. The index is built from parts of bounded size, one
+search for each, so it need not fit in memory as a whole; document frequencies, the number of units and their mean
+length are taken over all items first, so scores do not depend on the number of parts.
+
+Defined results: null, empty and wordless texts match nothing, likewise items without words; equal items each match;
+items that share an id are tried each by itself, and the best of them gives the row; items without an id are ignored;
+repeated rows of documents match each, documents without an id too; an empty table on either side gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._arrow import share_code, slices, text_buffers
+from tessera.llm._arrow import checkpointed, share_code, slices, text_buffers
 from tessera.llm._words import normalised_words, window_hashes
 
 UNIT = 64
@@ -54,24 +60,36 @@ def _side(text: str | None) -> tuple[int, np.ndarray]:
     return width, np.unique(_windows(words, width))
 
 
+#: Number of units, mean words of a unit, and the number of units that hold each term.
+Statistics = tuple[int, float, dict[int, int]]
+
+
+def item_units(question: str | None, answer: str | None) -> list[np.ndarray]:
+    """The words of an item in units of at most UNIT."""
+    words, _ = normalised_words(pa.array([f"{question or ''} {answer or ''}"]))
+    return np.array_split(words, -(-len(words) // UNIT)) if len(words) else []
+
+
+def statistics(units: list[np.ndarray]) -> Statistics:
+    return len(units), sum(map(len, units)) / max(len(units), 1), Counter(t for words in units for t in np.unique(words).tolist())
+
+
 class Index:
     """Inverted index of units, with block maxima."""
 
-    def __init__(self, items: list[tuple[int, str, str]]):
-        """``items``: (item_id, question, answer)."""
+    def __init__(self, items: list[tuple[int, str, str]], corpus: Statistics | None = None):
+        """``items``: (item_id, question, answer); an id may occur several times. ``corpus``: statistics over all items, if these are a part."""
         units: list[tuple[int, np.ndarray]] = []
-        self.sides: dict[int, tuple[tuple[int, np.ndarray], ...]] = {}
-        for item, question, answer in items:
-            self.sides[item] = (_side(question), _side(answer))
-            words, _ = normalised_words(pa.array([f"{question or ''} {answer or ''}"]))
-            parts = -(-len(words) // UNIT)
-            units += [(item, part) for part in np.array_split(words, parts)] if parts else []
+        self.ids: list[int] = []
+        self.sides: list[tuple[tuple[int, np.ndarray], ...]] = []
+        for number, (item, question, answer) in enumerate(items):
+            self.ids.append(item)
+            self.sides.append((_side(question), _side(answer)))
+            units += [(number, part) for part in item_units(question, answer)]
         self.item = np.array([i for i, _ in units], np.int64)
-        n = len(units)
         bags = [Counter(w.tolist()) for _, w in units]
-        df = Counter(t for bag in bags for t in bag)
-        mean = sum(len(w) for _, w in units) / max(n, 1)
-        self.terms = np.array(sorted(df), np.uint64)
+        n, mean, df = corpus or statistics([w for _, w in units])
+        self.terms = np.array(sorted({t for bag in bags for t in bag}), np.uint64)
         place = {t: k for k, t in enumerate(self.terms.tolist())}
         self.postings: list[list[tuple[int, float]]] = [[] for _ in place]
         for u, (bag, (_, words)) in enumerate(zip(bags, units, strict=True)):
@@ -81,7 +99,7 @@ class Index:
             for t, w in weight.items():
                 self.postings[place[t]].append((u, float(w / whole)))
         self.greatest = np.array([max(w for _, w in p) for p in self.postings], np.float32)
-        self.blocks = -(-n // BLOCK)
+        self.blocks = -(-len(units) // BLOCK)
         of_block: list[tuple[np.ndarray, np.ndarray]] = []
         for p in self.postings:
             best: dict[int, float] = defaultdict(float)
@@ -190,6 +208,7 @@ class Searcher:
         return list(self._verify(words, rows, counts, scores, where))
 
     def _verify(self, words, rows, counts, scores, where) -> Iterator[tuple[int, int, float, float, float]]:
+        best: dict[tuple[int, int], tuple[float, float, float]] = {}
         held: dict[tuple[int, int, int], np.ndarray] = {}
         for (r, item), total in scores.items():
             shares = []
@@ -200,7 +219,10 @@ class Searcher:
                 have = np.concatenate([held[r, k, width] for k in where[r, item]])
                 shares.append(float(np.isin(side, have).mean()) if len(side) else 1.0)
             if min(shares) >= self.overlap:
-                yield r, item, total, shares[0], shares[1]
+                pair = (r, self.index.ids[item])
+                best[pair] = max(best.get(pair, (0.0, 0.0, 0.0)), (total, shares[0], shares[1]))
+        for (r, item), found in best.items():
+            yield r, item, *found
 
 
 def item_sides(items: DataFrame) -> DataFrame:
@@ -217,21 +239,50 @@ def item_sides(items: DataFrame) -> DataFrame:
     )
 
 
+def _parts(items: DataFrame) -> Iterator[tuple[list[tuple[int, str, str]], Statistics]]:
+    """The items in parts of INDEX_BYTES (give or take the hash's spread), each with the statistics of all items for its terms."""
+    share_code(items.sparkSession)
+    sides = checkpointed(item_sides(items).filter("item_id is not null").distinct())
+    size = sides.agg(F.sum(F.octet_length(F.concat_ws(" ", "question", "answer")))).first()[0] or 0
+    parts = max(1, -(-int(size) // INDEX_BYTES))
+    sides = sides.withColumn("part", F.pmod(F.xxhash64("item_id"), F.lit(parts)).cast("int"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """part, term, units that hold it and words; the row without a term sums all units of the batch and their words."""
+        for batch in batches:
+            out: list[tuple[int, int | None, int, int]] = []
+            for part, question, answer in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                units = item_units(question, answer)
+                out.append((part, None, len(units), sum(map(len, units))))
+                out += [(part, int(np.uint64(t).view(np.int64)), n, 0) for t, n in statistics(units)[2].items()]
+            columns = list(zip(*out, strict=True)) or [(), (), (), ()]
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["part", "term", "units", "words"])
+
+    counted = checkpointed(sides.select("part", "question", "answer").mapInArrow(count, "part int, term long, units long, words long").groupBy("part", "term").agg(F.sum("units").alias("units"), F.sum("words").alias("words")))
+    n, words = counted.filter("term is null").agg(F.coalesce(F.sum("units"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    frequency = counted.filter("term is not null").groupBy("term").agg(F.sum("units").alias("df"))
+    for part in range(parts):
+        own = sides.filter(F.col("part") == part).orderBy("item_id", "question", "answer").select("item_id", "question", "answer").collect()
+        terms = counted.filter((F.col("part") == part) & F.col("term").isNotNull()).select("term").join(frequency, "term").collect()
+        yield [tuple(r) for r in own], (n, words / max(n, 1), {t & (2**64 - 1): df for t, df in terms})
+
+
+def _searching(spark: SparkSession, part: tuple, threshold: float, overlap: float):
+    """A function that makes the searcher of a part of the items, in a worker."""
+    shared = spark.sparkContext.broadcast(part)  # INDEX_BYTES of items, and the frequencies of their terms
+    return lambda: Searcher(Index(*shared.value), threshold, overlap)
+
+
 def contaminated(df: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap: a row for each document and test item that it holds."""
-    share_code(df.sparkSession)
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sides = item_sides(items).filter("item_id is not null").distinct()
-    size = sides.agg(F.sum(F.octet_length(F.concat_ws(" ", "question", "answer")))).first()[0] or 0
-    parts = max(1, -(-int(size) // INDEX_BYTES))
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     found = None
-    for part in range(parts):  # each part's items are within INDEX_BYTES, give or take the hash's spread
-        own = sides.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).orderBy("item_id").collect()
-        index = df.sparkSession.sparkContext.broadcast([(r[0], r[1], r[2]) for r in own])
+    for part in _parts(items):
 
-        def step(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            searcher = Searcher(Index(index.value), threshold, overlap)
+        def step(batches: Iterator[pa.RecordBatch], make=_searching(df.sparkSession, part, threshold, overlap)) -> Iterator[pa.RecordBatch]:
+            searcher = make()
             for batch in batches:
                 texts, ids = batch.column("text"), batch.column("doc_id")
                 for a, b, _, _ in slices(*text_buffers(texts)):
@@ -245,13 +296,40 @@ def contaminated(df: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
     return found
 
 
+def without_leaks(df: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, text: str = "text") -> DataFrame:
+    """The rows of ``df`` whose text holds no test item, each judged by itself (whatever its id), with all columns; no shuffle."""
+    kept, place = df, df.columns.index(text)
+    for part in _parts(items):
+
+        def step(batches: Iterator[pa.RecordBatch], make=_searching(df.sparkSession, part, threshold, overlap)) -> Iterator[pa.RecordBatch]:
+            searcher = make()
+            for batch in batches:
+                texts = batch.column(place)
+                stay = np.ones(batch.num_rows, bool)
+                for a, b, _, _ in slices(*text_buffers(texts)):
+                    stay[[a + row[0] for row in searcher.search(texts.slice(a, b - a))]] = False
+                yield batch.filter(pa.array(stay))
+
+        kept = kept.mapInArrow(step, df.schema)
+    return kept
+
+
 def brute_force(rows: list[tuple[int, str | None]], items: list[tuple[int, str, str]], overlap: float = OVERLAP) -> set[tuple[int, int]]:
-    """Pairs whose overlaps in the document as a whole reach ``overlap``; for tests."""
+    """Pairs whose overlaps in the document as a whole reach ``overlap``, from strings alone; for tests."""
+    import string
+
+    def words(text: str | None) -> list[str]:
+        found = (w.strip(string.punctuation) for w in re.split("[ \t-\r]+", (text or "").lower()))
+        return [w for w in found if w]
+
+    def runs(own: list[str], width: int) -> set[tuple[str, ...]]:
+        return {tuple(own[k : k + width]) for k in range(len(own) - width + 1)}
+
     out = set()
-    words = {d: normalised_words(pa.array([t or ""]))[0] for d, t in rows}
-    bags = {(d, width): set(_windows(w, width).tolist()) for d, w in words.items() for width in range(1, WIDTH + 1)}
+    texts = {d: words(t) for d, t in rows}
     for item, question, answer in items:
-        sides = [(width, set(side.tolist())) for width, side in (_side(question), _side(answer))]
-        if any(s for _, s in sides):
-            out |= {(d, item) for d in words if all(not s or len(s & bags[d, w]) >= overlap * len(s) for w, s in sides)}
+        sides = [words(s) for s in (question, answer)]
+        goals = [(min(WIDTH, len(s)), runs(s, min(WIDTH, len(s)))) for s in sides if s]
+        if goals:
+            out |= {(d, item) for d, own in texts.items() if all(len(goal & runs(own, width)) >= overlap * len(goal) for width, goal in goals)}
     return out

@@ -279,6 +279,23 @@ def test_decontamination_of_short_sides(spark):
     assert got == {(n, n) for n in range(1, 11)}
 
 
+def test_decontamination_of_parts_and_equal_ids(spark, monkeypatch):
+    """Parts of 1 kB give the rows and scores of one index; items that share an id are each found; brute force agrees on random items."""
+    r = random.Random(31)
+    items = [(k % 50, _words(r, r.randint(1, 90)), _words(r, r.randint(1, 12))) for k in range(60)]
+    rows = [(k, f"{_words(r, r.randint(0, 300))} {q} {a}, {_words(r, r.randint(0, 200))}") for k, (_, q, a) in enumerate(items)] + [(100, None), (None, f"{items[3][1]} {items[3][2]}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    table = spark.createDataFrame(items, "item_id long, question string, answer string")
+    whole = {(x.doc_id, x.item_id): round(x.score, 9) for x in decontaminate.contaminated(df, table).collect()}
+    assert {(k, i) for k, (i, _, _) in enumerate(items)} <= set(whole) and (None, 3) in whole
+    assert set(whole) == decontaminate.brute_force(rows, items)
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", 1 << 10)
+    assert len(list(decontaminate._parts(table))) > 5
+    assert {(x.doc_id, x.item_id): round(x.score, 9) for x in decontaminate.contaminated(df, table).collect()} == whole
+    assert [x.doc_id for x in decontaminate.without_leaks(df, table).collect()] == [100]
+    assert decontaminate.without_leaks(df, table.limit(0)).count() == len(rows)
+
+
 def test_decontamination_walk_equals_full_scores():
     r = random.Random(3)
     index = decontaminate.Index([(k, _words(r, 30), _words(r, 10)) for k in range(40)])
