@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm._arrow import checkpointed, list_array, share_code, slices, text_buffers
 from tessera.llm._words import mix, normalised_words, shingles
+from tessera.operators.graph import components
 
 SIMILARITY = 0.8
 WIDTH = 5
@@ -41,6 +42,8 @@ BANDS, ROWS = 25, 5
 SMALL_BUCKET = 32
 #: Finer buckets join a band with each of the next so many.
 FINER = 3
+#: Partners of one text that are compared in one place.
+SALTED = 1000
 #: Bytes of the texts of a block of a larger bucket (a text counts as 1 kB at least).
 BLOCK_BYTES = 1 << 20
 
@@ -172,7 +175,11 @@ def _bag_list(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Those pairs (a, b) whose texts overlap enough, as multisets of shingles."""
+    """Those pairs (a, b, members) whose texts overlap enough, as multisets of shingles.
+
+    A text b may have any number of partners, ``members`` for one bucket at most: its pairs are salted by a, SALTED to a
+    salt and bucket, and b's text goes once to each salt.
+    """
     share_code(docs.sparkSession)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,38 +194,30 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY)
                 yield part.select(["a", "b"]).filter(pa.array(near))
 
     texts = docs.select("doc_id", "text")
-    with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    with_b = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    salts = F.floor(F.col("members") / SALTED) + 1
+    leading = pairs.groupBy("b").agg(F.max("members").alias("members"))
+    sides = leading.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    sides = sides.select("b", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "text_b")
+    salted = pairs.select("a", "b", F.pmod(F.xxhash64("a"), salts).alias("salt"))
+    with_a = salted.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    with_b = with_a.join(sides, ["b", "salt"])
     return with_b.select("a", "b", "text_a", "text_b").mapInArrow(step, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """id, root: the least id that each linked id reaches.
-
-    Each round every id takes its least neighbour (and that one's) as its parent, and links are drawn between parents
-    instead; links within one parent go. So the links shrink from round to round, stars vanish in the first.
-    """
-    edges = checkpointed(links.select("a", "b").distinct())
-    roots = None
-    while roots is None or not edges.isEmpty():
-        ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("to")), F.struct(F.col("b").alias("id"), F.col("a").alias("to")))).alias("e")).select("e.*")
-        parent = ends.groupBy("id").agg(F.least(F.col("id"), F.min("to")).alias("root"))
-        above = parent.select(F.col("id").alias("root"), F.col("root").alias("far"))
-        parent = checkpointed(parent.join(above, "root").select("id", F.col("far").alias("root")))
-        side = lambda c: parent.select(F.col("id").alias(c), F.col("root").alias(f"r{c}"))
-        drawn = edges.join(side("a"), "a").join(side("b"), "b").filter("ra <> rb").select(*_ordered("ra", "rb"))
-        edges = checkpointed(drawn.distinct())
-        step = parent.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        roots = parent if roots is None else checkpointed(roots.join(step, "root", "left").select("id", F.coalesce("next", "root").alias("root")))
-    return roots
-
-
 def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def _pairs(rows: DataFrame, other: str) -> DataFrame:
+    """Distinct pairs a (rep) and b (``other``), with the most members of a bucket in which they met."""
+    return rows.groupBy(F.col("rep").alias("a"), F.col(other).alias("b")).agg(F.max("members").alias("members"))
+
+
 def _led(buckets: DataFrame, key: str) -> DataFrame:
-    """``buckets`` (key, rep) of two members at least, with a leader: the least rep after a flip of bits by the key, so another one in each band."""
+    """``buckets`` (key, rep) of two members at least, with a leader: the least rep after a flip of bits by the key, so another one in each band.
+
+    The rows of the join are two numbers; AQE splits a key that a large share of all rows have.
+    """
     lead = buckets.groupBy(key).agg(F.min(F.col("rep").bitwiseXOR(F.col(key))).alias("least"), F.count("*").alias("members")).filter("members > 1")
     return buckets.join(lead.select(key, "members", F.col("least").bitwiseXOR(F.col(key)).alias("leader")), key)
 
@@ -319,7 +318,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     reps = checkpointed(reps.filter("rep is not null"))
     buckets = _led(reps.select("rep", F.posexplode("bands").alias("band", "key")), "key")
     buckets = checkpointed(buckets.select("key", "band", "rep", "leader", "members"))
-    first = checkpointed(buckets.filter("rep <> leader").select(*_ordered("rep", "leader")).distinct())
+    first = checkpointed(_pairs(buckets.filter("rep <> leader"), "leader"))
     links = checkpointed(verified(first, docs, similarity))
     roots = components(links)
 
@@ -327,13 +326,13 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     again = _mixed(buckets.select("key", "band", "rep", "members"), roots)
     small = again.filter(F.col("members") <= SMALL_BUCKET).select("key", "rep", "class")
     other = small.select("key", F.col("rep").alias("rep2"), F.col("class").alias("class2"))
-    within = small.join(other, "key").filter("class < class2").select(*_ordered("rep", "rep2"))
+    within = small.join(other, "key").filter("class < class2").select("rep", "rep2", F.lit(1).cast("long").alias("members"))
     large = again.filter(F.col("members") > SMALL_BUCKET).join(reps.select("rep", "bands"), "rep")
     steps = F.array(*(F.xxhash64("key", F.expr(f"bands[(band + {d}) % {BANDS}]")) for d in range(1, FINER + 1)))
     finer = large.select("rep", "class", F.explode(steps).alias("key"))
     leading = roots.select(F.col("id").alias("leader"), F.col("root").alias("leader_root"))
-    finer = _led(finer.select("key", "rep", "class"), "key").join(leading, "leader", "left").filter(F.col("class") != F.coalesce("leader_root", "leader")).select(*_ordered("rep", "leader"))
-    second = within.union(finer).distinct().join(first, ["a", "b"], "left_anti")
+    finer = _led(finer.select("key", "rep", "class"), "key").join(leading, "leader", "left").filter(F.col("class") != F.coalesce("leader_root", "leader"))
+    second = _pairs(within.union(finer.select("rep", "leader", "members")), "rep2").join(first, ["a", "b"], "left_anti")
     roots = checkpointed(_widened(roots, verified(checkpointed(second), docs, similarity)))
 
     # Larger buckets that hold several classes even then.

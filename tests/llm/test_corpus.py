@@ -215,6 +215,25 @@ def test_near_duplicates_around_a_hub(spark):
     assert got == near_dedup.brute_force(some)
 
 
+def test_near_duplicates_of_many_versions(spark, monkeypatch):
+    """A page that changes a little from version to version is one class, though its first and last versions share nothing; so are salted leaders."""
+    from tessera.operators import graph
+
+    r = random.Random(14)
+    text, rows = _words(r, 200).split(), []
+    for k in range(120):
+        rows.append((k, " ".join(text)))
+        for place in range(5):
+            text[(5 * k + place) % 200] = f"new{k}x{place}"
+    monkeypatch.setattr(near_dedup, "SALTED", 2)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.class_id for x in got} == {0} and sum(x.keep for x in got) == 1
+    rounds, drawn = [], graph.settled
+    monkeypatch.setattr(graph, "settled", lambda d: rounds.append(1) or drawn(d))
+    links = spark.createDataFrame([(k, k + 1) for k in range(512)], "a long, b long")
+    assert {x.root for x in near_dedup.components(links).collect()} == {0} and len(rounds) <= 16
+
+
 def test_near_duplicates_block_links():
     """Blocks link the same classes as all pairs, within one block and between two."""
     r = random.Random(13)
