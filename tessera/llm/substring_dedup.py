@@ -5,12 +5,15 @@ positions i and j there is a shift below 7 that brings both into the cover, so t
 equal anchor that lies wholly in both. Anchors that two documents share mark the windows around them; only those
 windows are hashed in full (128 bits) and compared, which extends every anchor to exactly the 13-word matches.
 
-Texts are shuffled once, as ranges of document ids. A range sends each distinct hash once, so a passage that a third of
-all documents hold is one entry a range; what comes back is one bit for each hash sent. Nothing is emitted by pairs.
+Texts are shuffled once, as ranges of document ids with RANGE_BYTES of text each; a single id's rows, and rows without
+an id, are spread over several ranges if they are more. A range sends each distinct hash once, so a passage that a third
+of all documents hold is one entry a range; what comes back is one bit for each hash sent. Nothing is emitted by pairs.
+Ranges grow with the square root of the corpus, so that what a range sends to a part of the hash space stays larger than
+its row.
 
 Defined results: null and empty texts have no words; texts below 13 words lose nothing; of documents with equal ids
 none is smaller, so repeated rows keep what only they share; rows without an id come after all others and do not
-count as smaller for each other; an empty table gives an empty table; other columns are ignored.
+count as smaller for each other; ids may lie anywhere; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,16 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._arrow import share_code, text_buffers
-from tessera.llm._groups import id_group, id_width
+from tessera.llm._groups import id_ranges, order_of, with_range
 from tessera.llm._words import find_words, hash_spans, mix
 
 WINDOW = 13
 PERIOD, COVER = 7, (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
-#: Documents of a range of ids; the texts of one range are in a worker's memory at a time.
-RANGE_DOCUMENTS = 512
-#: Documents for one part of the hash space, 64 parts at least.
-PART_DOCUMENTS = 1 << 15
+#: Bytes of a range of ids in a corpus of up to ROOT_BYTES, and the most that it grows to; the texts of one range are in a worker's memory at a time.
+RANGE_BYTES, MOST_RANGE_BYTES, ROOT_BYTES = 1 << 20, 1 << 25, 1 << 35
+#: Bytes of text for one part of the hash space, 64 parts at least.
+PART_BYTES = 1 << 26
 NO_ID = np.int64(2**63 - 1)
 
 
@@ -161,15 +164,17 @@ def _sort_out(table: pa.Table) -> pa.Table:
         source = np.repeat(ranges[at], sizes)
         if lanes == 2:
             more = np.concatenate([x[n:] for x, n in zip(own, sizes, strict=True)])
+            source = order_of(source)
             order = np.lexsort((source, more, keys))
             fresh = np.ones(len(order), bool)
             fresh[1:] = (keys[order][1:] != keys[order][:-1]) | (more[order][1:] != more[order][:-1])
+            later = source[order] > source[order][fresh][np.cumsum(fresh) - 1]
         else:
             order = np.argsort(keys, kind="stable")
             fresh = np.ones(len(order), bool)
             fresh[1:] = keys[order][1:] != keys[order][:-1]
         told = np.empty(len(order), bool)
-        told[order] = ~fresh if step == 2 else ~(fresh & np.append(fresh[1:], True))
+        told[order] = later if step == 2 else ~(fresh & np.append(fresh[1:], True))
         end = np.cumsum(sizes)
         for i, a, b in zip(at.tolist(), end - sizes, end, strict=True):
             if told[a:b].any():
@@ -201,9 +206,11 @@ def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     """doc_id, n_words, n_removed and kept (the words that stay, UTF-8, joined by single spaces, as binary) for each row of ``df``."""
     share_code(df.sparkSession)
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    n, width = id_width(docs, "doc_id", RANGE_DOCUMENTS)
-    parts = min(1 << 20, max(64, 1 << max(0, n // PART_DOCUMENTS).bit_length()))
-    ranged = docs.withColumn("range", id_group("doc_id", width))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = id_ranges(docs, "doc_id", "text", int(min(MOST_RANGE_BYTES, RANGE_BYTES * max(1.0, size / ROOT_BYTES) ** 0.5)))
+    parts = min(1 << 20, max(64, 1 << (size // PART_BYTES).bit_length()))
+    # Equal rows of one id may be many, but those of one input partition are not.
+    ranged = with_range(docs, "doc_id", F.xxhash64("text", F.spark_partition_id()), ranges)
 
     def send_anchors(table: pa.Table) -> pa.Table:
         own, key = _Range(table, parts), table.column("range")[0].as_py()

@@ -129,6 +129,15 @@ def test_substring_dedup_repeated_and_missing_ids(spark):
     assert sorted((r.doc_id or 0, r.n_removed) for r in got) == [(0, 20), (0, 20), (1, 0), (1, 0)]
 
 
+def _sketch_by_strings(text):
+    """The kept hashes from sets of five-word strings; a string of five words has one shingle, whose hash is looked up by itself."""
+    words = [w.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") for w in (text or "").lower().split()]
+    words = [w for w in words if w]
+    own = {" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))} - {""}
+    hashes = fingerprints.shingles(*fingerprints.normalised_words(pa.array(sorted(own), pa.string())), 5)[0] if own else []
+    return {int(h) for h in hashes if int(h) < 2**64 // fingerprints.SCALE}
+
+
 def test_fingerprints(spark, docs, rows, empty):
     order = sorted(rows, key=lambda x: -x[0])
     got = {r.doc_id: r for r in fingerprints.compare_with_next(docs).collect()}
@@ -138,10 +147,13 @@ def test_fingerprints(spark, docs, rows, empty):
         n = len(t) // 3
         edited = t[: len(t) - n] + following[:n]
         assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        a, b = fingerprints.sketches(pa.array([t, edited]))
-        assert got[i].fingerprint == fingerprints.to_text(a) and got[i].near_edited == fingerprints.resemblance(a, b)
+        a, b, c = map(_sketch_by_strings, (t, edited, following))
+        assert set(map(int, fingerprints.from_text(got[i].fingerprint)[1])) == a and set(map(int, fingerprints.from_text(got[i].edited_fingerprint)[1])) == b
+        same = t.lower().split() == edited.lower().split() or not (a | b) and got[i].fingerprint == got[i].edited_fingerprint
+        assert got[i].near_edited == pytest.approx(1.0 if same else len(a & b) / max(1, len(a | b)))
+        assert got[i].in_next == (pytest.approx(len(a & c) / len(a)) if a else None)
     assert got[100].fingerprint == got[101].fingerprint and got[101].near_next == 1.0
-    assert got[201].fingerprint == "" and got[202].near_next == 1.0
+    assert got[201].fingerprint == "" and got[202].near_next == 1.0 and got[201].in_next is None
     assert fingerprints.compare_with_next(empty).count() == 0
     assert fingerprints.fingerprint(docs, out="ids").filter("doc_id = 206").first().ids == got[206].fingerprint
 
@@ -155,7 +167,21 @@ def test_fingerprints_merge_and_containment():
     assert abs(fingerprints.containment(a, b) - 0.1) < 0.04
     halves = fingerprints.sketches(pa.array([" ".join(whole.split()[:2004]), " ".join(whole.split()[2000:])]))
     assert np.array_equal(fingerprints.merge(halves), a)
-    assert np.array_equal(fingerprints.from_text(fingerprints.to_text(a)), a)
+    first = fingerprints.fingerprints(pa.array([whole]))[0]
+    back = fingerprints.from_text(fingerprints.to_text(*first))
+    assert back[0] == first[0] and np.array_equal(back[1], a)
+
+
+def test_fingerprints_of_short_texts_within_long_ones():
+    """A text that a longer one holds is contained in it as a whole, or its containment is unknown."""
+    r = random.Random(2)
+    for _ in range(300):
+        long = _words(r, 400).split()
+        at = r.randrange(390)
+        a, b = fingerprints.sketches(pa.array([" ".join(long[at : at + 7]), " ".join(long)]))
+        assert fingerprints.containment(a, b) in (None, 1.0)
+    one, two = fingerprints.fingerprints(pa.array(["a b c", "d e f"]), 2**40)
+    assert len(one[1]) == len(two[1]) == 0 and fingerprints.likeness(one, two) == 0 and fingerprints.likeness(one, one) == 1
 
 
 def test_fingerprints_order_over_ranges(spark):
@@ -167,6 +193,41 @@ def test_fingerprints_order_over_ranges(spark):
         assert got[i] == hashlib.sha256((t[: len(t) - n] + following[:n]).encode()).hexdigest()
 
 
+@pytest.mark.parametrize("kind", ["outlier", "missing", "one"])
+def test_ranges_of_uneven_ids(spark, monkeypatch, kind):
+    """One id far from all others, no ids at all, or one id for all: ranges stay small and results are those of brute force."""
+    from tessera.llm import _groups
+
+    r = random.Random(15)
+    passage = _words(r, 20)
+    texts = [f"{_words(r, 30)} {passage} {_words(r, r.randint(1, 60))}" for _ in range(400)]
+    ids = {"outlier": [*range(1, 400), 2**62], "missing": [None] * 400, "one": [7] * 400}[kind]
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(7)
+    ranges = _groups.id_ranges(df, "doc_id", "text", 10_000)
+    sizes = [x["count"] for x in _groups.with_range(df, "doc_id", F.xxhash64("text"), ranges).groupBy("range").count().collect()]
+    assert sum(sizes) == 400 and max(sizes) < 100 and len(sizes) > 5
+    monkeypatch.setattr(substring_dedup, "RANGE_BYTES", 10_000)
+    monkeypatch.setattr(fingerprints, "SLICE_BYTES", 10_000)
+    got = substring_dedup.digest(substring_dedup.deduplicate(df)).collect()
+    if kind == "outlier":
+        assert {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in got} == substring_dedup.brute_force(list(zip(ids, texts, strict=True)))
+    else:
+        assert len(got) == 400 and not any(x.n_removed for x in got)
+    made = fingerprints.compare_with_next(df).collect()
+    assert len(made) == 400
+    if kind == "outlier":
+        at = dict(zip(ids, texts, strict=True))
+        order = sorted(ids, reverse=True)
+        want = {i: (at[i][: len(at[i]) - len(at[i]) // 3] + at[order[(k + 1) % 400]][: len(at[i]) // 3]) for k, i in enumerate(order)}
+        assert {x.doc_id: x.edited_sha256 for x in made} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in want.items()}
+    else:
+        # Each row follows another one: the next ones' sketches are all of the rows', once each.
+        assert len({x.edited_sha256 for x in made}) == 400
+    mixed = spark.createDataFrame([(5, passage), (None, passage), (None, texts[0]), (3, "a b"), (9, passage)], "doc_id long, text string")
+    gone = sorted((x.doc_id or 0, x.n_removed) for x in substring_dedup.deduplicate(mixed).collect())
+    assert gone == [(0, 20), (0, 20), (3, 0), (5, 0), (9, 20)]
+
+
 def test_near_duplicates(spark, docs, rows, empty):
     got = {r.doc_id: r for r in near_dedup.near_duplicates(docs).collect()}
     want = near_dedup.brute_force(rows)
