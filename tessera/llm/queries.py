@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontaminate, fingerprints, licenses, near_dedup, pii, quality, substring_dedup, token_counts, warc
 
@@ -37,8 +38,8 @@ def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_warc_derivatives(spark: SparkSession, folder: str) -> DataFrame:
-    """The metadata and the conversion record of every page's response."""
-    return warc.derive(warc.responses(_table(spark, folder, "pages")))
+    """The metadata and the conversion record of every page's response; the blocks of both are UTF-8."""
+    return warc.derive(warc.responses(_table(spark, folder, "pages"))).withColumn("block", F.col("block").cast("string"))
 
 
 def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:

@@ -483,18 +483,104 @@ def test_warc_derivatives(spark, tmp_path):
     source = {r.page_id: r for r in answers.collect()}
     for r in rows:
         assert r.refers_to == source[r.page_id].record_id and r.payload_digest == source[r.page_id].payload_digest and r.http_headers == source[r.page_id].http_headers
-        assert r.content_length == len(r.block.encode()) and r.block_digest == warc.digest(r.block.encode())
-    by = {(r.page_id, r.record_type): r.block for r in rows}
+        assert r.content_length == len(r.block) and r.block_digest == warc.digest(r.block)
+    by = {(r.page_id, r.record_type): r.block.decode() for r in rows}
     assert by[1, "conversion"] == "One two\na<b link\nend"
     assert "outlink: http://h.org/l?x=1&y=2 L a/@href" in by[1, "metadata"] and "/x L" not in by[1, "metadata"] and "title: A & B" in by[1, "metadata"] and "language: en" in by[1, "metadata"]
     assert by[2, "conversion"] == ""
     warc.write(answers.union(made), str(tmp_path / "w"))
     back = warc.read(spark, str(tmp_path / "w"))
     assert back.count() == 12
-    assert sorted(r.record_id + r.block for r in warc.derive(back).collect()) == sorted(r.record_id + r.block for r in rows)
+    assert sorted((r.record_id, bytes(r.block)) for r in warc.derive(back).collect()) == sorted((r.record_id, bytes(r.block)) for r in rows)
     assert warc.derive(warc.responses(pages.limit(0))).count() == 0
 
 
+def test_warc_scan_equals_the_standard_parser():
+    """Random pages against text, title and links that the standard library's parser finds."""
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=False)
+            self.out, self.links, self.title, self.silent = [], [], None, []
+
+        def handle_starttag(self, tag, attrs):
+            self.out.append("\0" if tag in warc.BLOCKS and not self.silent else "")
+            if tag == "a" and "href" in dict(attrs) and not set(self.silent) & warc.RAW:
+                self.links.append(dict(attrs)["href"].strip())
+            if tag in warc.SILENT | {"title"}:
+                self.silent += [tag] if tag != "title" else []
+                self.in_title = tag == "title"
+
+        def handle_endtag(self, tag):
+            self.out.append("\0" if tag in warc.BLOCKS and not self.silent else "")
+            self.in_title = False
+            if tag in self.silent:
+                self.silent.remove(tag)
+
+        def add(self, text):
+            if getattr(self, "in_title", False):
+                self.title = (self.title or "") + text
+            if not self.silent:
+                self.out.append(text)
+
+        handle_data = add
+
+        def handle_entityref(self, name):
+            self.add(f"&{name};")
+
+        def handle_charref(self, name):
+            self.add(f"&#{name};")
+
+    import html
+
+    r = random.Random(16)
+    for _ in range(300):
+        page = "<html lang=en><head><title>T &amp; x</title><script>var a = '<p>no</p>'</script></head><body>"
+        for _ in range(r.randint(0, 40)):
+            page += r.choice(["<p>", "</p>", "<b>", "</b>", "<br/>", "word ", "&lt;x ", "1 < 2 ", "<a href='/u?a=1&amp;b=2' class=x>l</a>", '<A title="a>b" HREF="v">', "</a>", "<!-- <a href=q> -->", "<div class='q'>", "</div>", "<svg><a href='s'>t</a></svg>", "<style>p > a {}</style>", "é 🙂 ", "\n"])
+        parser = Plain()
+        parser.feed(page + "</body></html>")
+        parser.close()
+        lines = (" ".join(html.unescape(x).split()) for x in "".join(parser.out).split("\0"))
+        title, language, links, text = warc.scan(page + "</body></html>")
+        assert (title, language, links, text) == ("T & x", "en", parser.links, "\n".join(x for x in lines if x))
+
+
+def test_warc_scan_of_broken_pages_is_linear():
+    import time
+
+    for unit in ("<a ", '<a "', "<a '\"", "<svg>", "<svg></head>", "<!-- ", "<title>", "<script", "</script   ", "<a href=x ", "&", "<" * 3):
+        began = time.perf_counter()
+        warc.scan(unit * (1_000_000 // len(unit)))
+        assert time.perf_counter() - began < 3, unit
+    assert warc.scan("a <b c") [3] == "a <b c" and warc.scan('x <a title="y <b>z</b>')[3] == 'x <a title="y z'
+
+
+def test_warc_bodies_and_files(spark, tmp_path):
+    """Character sets and codings; bytes survive reading and writing; members; blocks that hold the mark of a record; broken records."""
+    import gzip
+
+    page = "<p>caf\u00e9 \u20ac"
+    head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html"
+    plain = page.encode("cp1252")
+    packed = gzip.compress(page.encode())
+    bodies = [head + b"; charset=ISO-8859-1\r\n\r\n" + plain, head + b"\r\n\r\n<meta charset='windows-1252'>" + plain, head + b"\r\n\r\n" + "\ufeff".encode() + page.encode(), head + b"\r\n\r\n" + page.encode("utf-16"), head + b"; charset=none\r\n\r\n" + page.encode()]
+    bodies += [head + b"\r\nContent-Encoding: gzip\r\n\r\n" + packed, head + b"\r\nTransfer-Encoding: chunked\r\n\r\n4\r\n" + page.encode()[:4] + b"\r\n" + f"{len(page.encode()) - 4:x}\r\n".encode() + page.encode()[4:] + b"\r\n0\r\n\r\n"]
+    assert {warc.scan(warc.body_text(b)[1])[3] for b in bodies} == {"caf\u00e9 \u20ac"}
+    assert warc.body_text(b"")[1] == "" and warc.body_text(head + b"\r\n\r\n\xff")[1] == "\ufffd"
+    blocks = [*bodies, b"x\r\n\r\nWARC/1.0\r\nWARC-Type: no\r\nContent-Length: 0\r\n\r\n\r\n\r\n", b"", bytes(range(256)) * 70_000]
+    rows = [(None, "response", f"<{k}>", None, None, None, f"http://h/{k}", "2024-01-01T00:00:00Z", "application/http", len(b), warc.digest(b), None, None, b) for k, b in enumerate(blocks)]
+    warc.write(spark.createDataFrame(rows, warc.RECORD).coalesce(1), str(tmp_path / "w"))
+    file = next((tmp_path / "w").glob("part-*.warc.gz"))
+    assert gzip.decompress(file.read_bytes()).count(b"WARC/1.1\r\n") == len(blocks) and file.read_bytes().count(b"\x1f\x8b\x08") >= len(blocks)
+    assert {r.record_id: bytes(r.block) for r in warc.read(spark, str(tmp_path / "w")).collect()} == {f"<{k}>": b for k, b in enumerate(blocks)}
+    (tmp_path / "raw").mkdir()
+    record = lambda k, n, b: f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <{k}>\r\nContent-Length: {n}\r\n\r\n".encode() + b + b"\r\n\r\n"
+    (tmp_path / "raw/a.warc").write_bytes(record(1, 2, b"\xe9\xff") + b"WARC/1.0\r\nnonsense\r\n\r\n\r\n\r\n" + record(2, 1, b"z") + record(3, 99, b"cut"))
+    assert {(r.record_id, bytes(r.block)) for r in warc.read(spark, str(tmp_path / "raw")).collect()} == {("<1>", b"\xe9\xff"), ("<2>", b"z")}
+
+
 def test_pipeline_stages_take_effect(spark, tmp_path):
     """Each stage on odd rows, then the whole: brute force tells which documents stay."""
     r = random.Random(2)
