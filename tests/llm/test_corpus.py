@@ -430,17 +430,29 @@ def test_pii_held_out_accuracy():
 def test_licenses(spark, docs, empty):
     r = random.Random(5)
     long_one = {"long": _words(r, 300)}
-    templates = licenses.TEMPLATES | long_one | {"short": "just three words", "none": "", "null": None}
+    templates = licenses.default_templates() | long_one | {"short": "just three words", "none": "", "null": None}
     cut = long_one["long"].split()
-    rows = _texts() + [(1000 + k, f"{_words(r, 30)}\n{t} {_words(r, 30)}") for k, t in enumerate(licenses.TEMPLATES.values())]
+    rows = _texts() + [(1000 + k, f"{_words(r, 30)}\n{t} {_words(r, 30)}") for k, t in enumerate(licenses.default_templates().values())]
     rows += [(2000, "RELEASED under the MIT license"), (2001, f"{_words(r, 99)} {' '.join(cut)}"), (2002, " ".join(cut[:150] + ["new"] + cut[150:])), (2003, " ".join(cut[:100])), (2004, "just three words"), (2005, "MIT " * 9)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {(x.doc_id, x.license) for x in licenses.scan(df, templates).collect()}
     assert got == licenses.brute_force(rows, templates)
     assert {(2000, "MIT"), (2001, "long"), (2002, "long"), (2004, "short")} <= got and (2003, "long") not in got
+    assert {(1000 + k, name) for k, name in enumerate(licenses.default_templates())} <= got
     assert licenses.scan(empty).count() == 0 and licenses.scan(docs, {}).count() == 0
 
 
+def test_licenses_in_texts_full_of_notices():
+    import time
+
+    scanner = licenses.Scanner(sorted(licenses.default_templates().items()))
+    scanner.scan(pa.array(["Released under the MIT License."]))
+    many = pa.array(["Released under the MIT License. " * 200])
+    began = time.perf_counter()
+    found = scanner.scan(many)
+    assert time.perf_counter() - began < 0.5 and [(x[1], x[5]) for x in found] == [("MIT", 200)]
+
+
 def test_quality(spark, empty):
     r = random.Random(7)
     good = [(i, _words(r, r.randint(20, 90)).capitalize() + ".") for i in range(300)]
