@@ -63,6 +63,26 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
     return out
 
 
+def same_spans(a: np.ndarray, a_starts: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_starts: np.ndarray, b_ends: np.ndarray) -> np.ndarray:
+    """Whether the bytes of each span of ``a`` are those of the span of ``b`` beside it, eight bytes a step."""
+    lanes = []
+    for data in (a, b):
+        padded = np.zeros(len(data) + 8, np.uint8)
+        padded[: len(data)] = data
+        lanes.append(np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,)))
+    length = a_ends - a_starts
+    same = length == b_ends - b_starts
+    live = np.flatnonzero(same & (length > 0))
+    step = 0
+    while len(live):
+        rest = length[live] - step
+        differ = (lanes[0][a_starts[live] + step] ^ lanes[1][b_starts[live] + step]) & _MASK[np.minimum(rest, 8)]
+        same[live[differ != 0]] = False
+        live = live[(differ == 0) & (rest > 8)]
+        step += 8
+    return same
+
+
 def window_hashes(words: np.ndarray, rows: np.ndarray, width: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each ``width`` consecutive words of one row: (word position of each window, hash)."""
     n = len(words)

@@ -1,30 +1,35 @@
 """Byte-level BPE encoding and decoding over Arrow batches.
 
 Texts are cut into the matches of the tokenizer's pattern by numpy over code-point classes. The tokenizers library
-encodes each distinct match once for a worker; ids of texts are gathered from that. Decoding reverses the byte table:
-every id stands for bytes, a character may be split over ids, and the bytes are joined before they are read as UTF-8.
+encodes each distinct match once for a worker; ids of texts are gathered from that. Matches are looked up by a hash, and
+their bytes are compared. Decoding reverses the byte table: every id stands for bytes, a character may be split over
+ids, and the bytes are joined before they are read as UTF-8.
+
+The vocabulary is a file of ranks (a token in base64 and its id on each line). The driver reads it, derives the merges
+that the library wants from the ranks, and hands both to the workers.
 
 Defined results: a null text is the empty text (no ids, empty bytes); special tokens' strings are ordinary text; rows
-are independent, so repeated rows and ties give equal results; an empty table gives an empty table; a column that has
-the name of an output column is replaced.
+are independent, so repeated rows and ties give equal results; very long texts are encoded as a whole; decoding an id
+that the vocabulary does not have is an error, decoding null gives the empty text; an empty table gives an empty table;
+a column that has the name of an output column is replaced.
 """
 
 from __future__ import annotations
 
+import base64
 import codecs
 import hashlib
-import json
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from tessera.llm._arrow import append_columns, list_array, slices, text_buffers
-from tessera.llm._words import hash_spans
+from tessera.llm._words import hash_spans, same_spans
 
 LETTER, NUMBER, BLANK = 1, 2, 3
 #: Code points with Unicode's White_Space property, which \s matches.
@@ -83,21 +88,45 @@ def find_matches(points: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begins)
 
 
+#: Tokens by id, and the two ids whose merge is each token that has more than a byte, in the order of ranks.
+Vocabulary = tuple[tuple[bytes, ...], tuple[tuple[int, int], ...]]
+
+
+@cache
+def vocabulary(path: str) -> Vocabulary:
+    """The tokens of a file of ranks, and their merges: a token's last merge is what the merges of lower ranks leave of it."""
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
+    pieces = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        pieces[rank] = token
+    merges = []
+    for rank, token in enumerate(pieces):
+        if len(token) < 2:
+            continue
+        parts = [token[k : k + 1] for k in range(len(token))]
+        while len(parts) > 2:
+            found = [(ranks.get(parts[k] + parts[k + 1], rank), k) for k in range(len(parts) - 1)]
+            best, k = min(found)
+            if best >= rank:
+                break
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        if len(parts) == 2 and parts[0] in ranks and parts[1] in ranks:
+            merges.append((ranks[parts[0]], ranks[parts[1]]))
+    return tuple(pieces), tuple(merges)
+
+
 class Codec:
     """One tokenizer's byte table and the ids of the matches that it has met."""
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.model = Tokenizer.from_file(path).model
-        self.forward = str.maketrans({chr(b): c for b, c in enumerate(byte_characters())})
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        backward = {c: b for b, c in enumerate(byte_characters())}
-        vocabulary = sorted((i, t) for t, i in model["vocab"].items())
-        pieces = [b""] * (vocabulary[-1][0] + 1)
-        for i, token in vocabulary:
-            pieces[i] = bytes(backward[c] for c in token) if all(c in backward for c in token) else token.encode()
+    def __init__(self, known: Vocabulary):
+        from tokenizers.models import BPE
+
+        pieces, merges = known
+        characters = byte_characters()
+        self.forward = str.maketrans({chr(b): c for b, c in enumerate(characters)})
+        names = [p.decode("latin-1").translate(self.forward) for p in pieces]
+        self.model = BPE({n: i for i, n in enumerate(names) if n}, [(names[a], names[b]) for a, b in merges])
         self.lengths = np.array([len(p) for p in pieces], np.int64)
         self.bytes = np.frombuffer(b"".join(pieces), np.uint8)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
@@ -106,6 +135,11 @@ class Codec:
     def _forget(self) -> None:
         self.known, self.where = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.ids, self.at, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.met, self.met_ends = np.zeros(0, np.uint8), np.zeros(1, np.int64)  # the matches' bytes, end to end
+
+    def _tokens(self, match: bytes) -> list[int]:
+        # A match needs no more cutting: its bytes' characters go to the library's merge model itself.
+        return [x.id for x in self.model.tokenize(match.decode("latin-1").translate(self.forward))]
 
     def _look_up(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """For each distinct key its place in at and counts; starts and ends are spans of ``data``, one for a key."""
@@ -117,9 +151,10 @@ class Codec:
         missing = np.flatnonzero(~found)
         if len(missing):
             raw = data.tobytes()
-            # A match needs no more cutting: its bytes' characters go to the library's merge model itself.
-            texts = [raw[a:b].decode("latin-1").translate(self.forward) for a, b in zip(starts[missing].tolist(), ends[missing].tolist(), strict=True)]
-            got = [[x.id for x in self.model.tokenize(t)] for t in texts]
+            matches = [raw[a:b] for a, b in zip(starts[missing].tolist(), ends[missing].tolist(), strict=True)]
+            got = [self._tokens(m) for m in matches]
+            self.met = np.concatenate([self.met, np.frombuffer(b"".join(matches), np.uint8)])
+            self.met_ends = np.concatenate([self.met_ends, self.met_ends[-1] + np.cumsum([len(m) for m in matches])])
             counts = np.array([len(x) for x in got], np.int64)
             at = len(self.ids) + np.concatenate([[0], np.cumsum(counts)[:-1]])
             self.ids = np.concatenate([self.ids, np.fromiter((i for x in got for i in x), np.int32, int(counts.sum()))])
@@ -140,17 +175,27 @@ class Codec:
         begins = characters[find_matches(points, np.searchsorted(characters, offsets))]
         ends = np.append(begins[1:], len(data))
         keys, one, back = np.unique(hash_spans(data, begins, ends), return_index=True, return_inverse=True)
-        place = self._look_up(keys, data, begins[one], ends[one])
-        at, counts = self.at[place][back], self.counts[place][back]
+        place = self._look_up(keys, data, begins[one], ends[one])[back]
+        at, counts = self.at[place], self.counts[place]
+        other = np.flatnonzero(~same_spans(data, begins, ends, self.met, self.met_ends[place], self.met_ends[place + 1]))
+        known = self.ids
+        if len(other):  # matches whose hash another match has too
+            raw = data.tobytes()
+            got = [self._tokens(raw[a:b]) for a, b in zip(begins[other].tolist(), ends[other].tolist(), strict=True)]
+            counts[other] = [len(x) for x in got]
+            at[other] = len(known) + np.cumsum(counts[other]) - counts[other]
+            known = np.concatenate([known, np.fromiter((i for x in got for i in x), np.int32)])
         total = np.concatenate([[0], np.cumsum(counts)])
-        ids = self.ids[np.repeat(at - total[:-1], counts) + np.arange(total[-1])]
+        ids = known[np.repeat(at - total[:-1], counts) + np.arange(total[-1])]
         return ids, np.diff(total[np.searchsorted(begins, offsets)])
 
     def count(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return self.encode(data, offsets)[1]
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
-        """The bytes of the ids, end to end."""
+        """The bytes of the ids, end to end; an id that is none is a ValueError."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.lengths)):
+            raise ValueError(f"the vocabulary has no id {int(ids.min() if ids.min() < 0 else ids.max())}")
         lengths = self.lengths[ids]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
@@ -172,27 +217,38 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
 
 
-@cache
-def codec(path: str) -> Codec:
-    """One for a worker; tasks that it runs later find its matches known."""
-    return Codec(path)
+_CODECS: dict[str, Codec] = {}
+
+
+def codec(path: str, known: Callable[[], Vocabulary] | None = None) -> Codec:
+    """One for a worker; tasks that it runs later find its matches known. ``known`` gives the vocabulary where there is no file."""
+    if path not in _CODECS:
+        _CODECS[path] = Codec(known() if known else vocabulary(path))
+    return _CODECS[path]
+
+
+def shared_codec(spark: SparkSession, path: str | None) -> Callable[[], Codec]:
+    """The codec of the driver's file at ``path``, for workers: they need not have the file."""
+    path = path or default_path()
+    known = spark.sparkContext.broadcast(vocabulary(path))  # as large as the vocabulary
+    return lambda: codec(path, lambda: known.value)
 
 
 def default_path() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def encode(df: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids", spans: str | None = None) -> DataFrame:
     """``df`` with the ids of each text as array<int>; with ``spans``, also the characters that each id covers as array<struct<start,end>>."""
-    path = path or default_path()
+    own_codec = shared_codec(df.sparkSession, path)
     fields = [T.StructField(ids, T.ArrayType(T.IntegerType()))]
     if spans:
         fields.append(T.StructField(spans, T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))))
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
-        own, made = codec(path), []
+        own, made = own_codec(), []
         for _, _, data, offsets in slices(*text_buffers(batch.column(0))):
             found, counts = own.encode(data, offsets)
             made.append((found, counts, *(own.character_spans(found, counts, data, offsets) if spans else ())))
@@ -208,10 +264,10 @@ def encode(df: DataFrame, path: str | None = None, text: str = "text", ids: str
 
 def decode(df: DataFrame, path: str | None = None, ids: str = "ids", text: str = "text") -> DataFrame:
     """``df`` with the text of each id array; bytes that are no UTF-8 (ids cut in a character) become U+FFFD. Null ids give the empty text."""
-    path = path or default_path()
+    own_codec = shared_codec(df.sparkSession, path)
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
-        own, out = codec(path), []
+        own, out = own_codec(), []
         for row in batch.column(0):
             values = row.values
             found = values.to_numpy(zero_copy_only=False) if values is not None and len(values) else np.zeros(0, np.int64)
@@ -231,11 +287,11 @@ def decode_stream(parts: Iterable[Iterable[int]], path: str | None = None) -> It
 
 def round_trip(df: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
     """``df`` with n_tokens, ids_sha256 (of the ids as little-endian unsigned 32-bit integers) and decoded_sha256 (of the bytes that the ids decode to)."""
-    path = path or default_path()
+    own_codec = shared_codec(df.sparkSession, path)
     fields = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
-        own, numbers, of_ids, of_bytes = codec(path), [], [], []
+        own, numbers, of_ids, of_bytes = own_codec(), [], [], []
         for _, _, data, offsets in slices(*text_buffers(batch.column(0))):
             ids, counts = own.encode(data, offsets)
             ends = np.cumsum(counts)

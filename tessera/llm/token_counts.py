@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm._arrow import append_columns, checkpointed, slices, text_buffers
-from tessera.llm.bpe import codec, default_path
+from tessera.llm.bpe import shared_codec
 
 #: Lengths of one block of the histogram; sums over blocks come first, so that no window spans all lengths.
 BLOCK = 1024
@@ -21,10 +21,10 @@ BLOCK = 1024
 
 def lengths(df: DataFrame, path: str | None = None, text: str = "text", out: str = "n_tokens") -> DataFrame:
     """``df`` with the number of ids of each text."""
-    path = path or default_path()
+    own_codec = shared_codec(df.sparkSession, path)
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
-        own = codec(path)
+        own = own_codec()
         found = [own.count(data, offsets) for _, _, data, offsets in slices(*text_buffers(batch.column(0)))]
         return [pa.array(np.concatenate(found) if found else np.zeros(0, np.int64), pa.int64())]
 

@@ -81,6 +81,19 @@ def test_bpe_on_random_strings():
         assert ids[a:b].tolist() == theirs.encode_ordinary(t)
 
 
+def test_bpe_of_matches_with_equal_hashes(monkeypatch):
+    """Were all hashes equal, ids would still be right, in one batch and against what is known."""
+    theirs, known = _tiktoken(), bpe.vocabulary(bpe.default_path())
+    monkeypatch.setattr(bpe, "hash_spans", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+    own = bpe.Codec(known)
+    for text in ("one two three", "four five one", ""):
+        ids, _ = own.encode(*bpe.text_buffers(pa.array([text])))
+        assert ids.tolist() == theirs.encode_ordinary(text)
+    for bad in (-1, len(known[0])):
+        with pytest.raises(ValueError):
+            own.decode(np.array([5, bad]))
+
+
 def test_bpe_offsets_and_split_characters(spark):
     df = spark.createDataFrame([(1, "naïve 🙂 x"), (2, None)], "doc_id long, text string")
     row = bpe.encode(df, spans="spans").orderBy("doc_id").collect()[0]
