@@ -2,23 +2,29 @@ r"""Personal data: high-recall candidates, boosted trees over format and context
 
 Base spans (always kept), leftmost and non-overlapping for each kind: email, ip (parts at most 255), card (13 to 19
 digits that pass Luhn) and phone (+ and 9 to 15 digits). Further generators propose spans that may overlap each other
-and the base spans: runs of digits and separators, long opaque strings, written-out e-mail addresses. Each candidate
-gets features of its format (lengths, digits, groups, share of hexadecimal digits, ...) and of the text before it
-(words that announce a number, a secret or an address). Boosted trees, as nested CASE expressions, give a probability;
-a kind's candidates from its threshold on become spans of the kinds number, secret and contact, unless a base span
-covers part of them.
-
-The trees are trained when first asked for, from generated examples (``examples``); thresholds are the least ones with a
-precision of PRECISION on generated examples kept aside. All of the work on documents is native.
+and the base spans: runs of digits with up to three separators between two of them, single numbers in fixed formats
+(also within such a run), long opaque strings, tokens of three dotted parts, written-out e-mail addresses. None of them
+has an upper length. Each candidate gets features of its format (lengths, digits, groups, share of hexadecimal digits,
+...) and of the text around it (words that announce a number, a secret or an address before it, quotes and units after
+it). Boosted trees give a score, which is calibrated for each kind; candidates from the kind's threshold on become spans
+of the kinds number, secret and contact, unless they lie wholly in a base span or in another one of these.
+
+The trees are trained when first asked for, from generated examples (``examples``). Scores are calibrated (by a logistic
+curve for each kind) on examples kept aside, and a threshold is the least probability (LEAST at least) from which on the others
+of these have a precision of PRECISION. All of the work on documents is native: the trees are flat arrays that a few nested
+aggregates walk.
 
 Positions are in code points, ends exclusive. Defined results: null and empty texts have no spans; equal texts have
-equal spans; very long texts are searched in full with patterns that do not backtrack over runs; an empty table gives
-an empty table; a column that has the name of an output column is replaced.
+equal spans; very long texts are searched in full, by patterns that do not backtrack over runs, and work grows with the
+spans of a text little more than in proportion (lists are built in blocks); an empty table gives an empty table; a
+column that has the name of an output column is replaced.
 """
 
 from __future__ import annotations
 
 import random
+import re
+from collections.abc import Callable
 from functools import cache
 
 import numpy as np
@@ -36,41 +42,76 @@ BASE = {
     "card": r"(?:\G|(?<![0-9]))[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Generators of further candidates.
+_OPAQUE = "[A-Za-z0-9_+/=-]"
+#: Generators of further candidates: the kind that they propose, and a pattern.
 MORE = {
-    "number": r"(?<![0-9A-Za-z+.])[0-9(](?:[\x20().\-/]?[0-9]){6,24}+(?![0-9A-Za-z])",
-    "secret": r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{20,512}+(?![A-Za-z0-9_+/=-])",
-    "contact": rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{2,64}}+[\x20]?[\[(][\x20]?(?i:at)[\x20]?[\])][\x20]?{_HOST}++(?:(?:\.|[\x20]?[\[(][\x20]?(?i:dot)[\x20]?[\])][\x20]?|[\x20](?i:dot)[\x20]){_HOST}++)++",
+    "run": ("number", r"(?<![0-9A-Za-z+.])\(?[0-9](?:[\x20().\-/]{0,3}[0-9]){6,}+(?![0-9A-Za-z])"),
+    "single": ("number", r"(?<![0-9A-Za-z+.])(?:\(?[0-9]{3}\)?[\x20.\-]{0,2}[0-9]{3}[\x20.\-][0-9]{4}|[0-9]{3}[\x20-][0-9]{2}[\x20-][0-9]{4}|[0-9]{4}(?:[\x20-][0-9]{4}){3})(?![0-9A-Za-z])"),
+    "opaque": ("secret", rf"(?<!{_OPAQUE}){_OPAQUE}{{20,}}+"),
+    "dotted": ("secret", r"(?<![A-Za-z0-9_.-])eyJ[A-Za-z0-9_-]{5,}+(?:\.[A-Za-z0-9_-]{5,}+){1,2}"),
+    "written": ("contact", rf"(?<!{_LOCAL}){_LOCAL}{{2,}}+[\x20]?[\[(][\x20]?(?i:at)[\x20]?[\])][\x20]?{_HOST}++(?:(?:\.|[\x20]?[\[(][\x20]?(?i:dot)[\x20]?[\])][\x20]?|[\x20](?i:dot)[\x20]){_HOST}++)++"),
 }
-KINDS = (*BASE, *MORE)
-#: Characters before a candidate that count as its context.
-BEFORE = 40
+#: What a text must hold for a generator to find anything: literals of which one occurs, or a digit.
+NEEDS = {"email": ("@",), "phone": ("+",), "dotted": ("eyJ",), "written": ("(", "["), "opaque": ()}
+MORE_KINDS = ("number", "secret", "contact")
+KINDS = (*BASE, *MORE_KINDS)
+#: Characters before and after a candidate that count as its context; those after it end at the generator's next candidate.
+BEFORE, AFTER = 40, 12
 NUMBER_WORDS = ("phone", "tel", "call", "mobile", "fax", "ssn", "passport", "account", "iban", "card", "id no", "number", "contact")
 SECRET_WORDS = ("token", "secret", "passw", "api", "key", "auth", "bearer", "credential")
 CONTACT_WORDS = ("mail", "write", "contact", "reach")
-FEATURES = ("kind", "length", "digits", "groups", "separators", "hex_share", "upper_share", "lower_share", "distinct", "quoted", "assigned", "number_word", "secret_word", "contact_word", "lead_plus", "cyclic")
-PRECISION = 0.98
+UNIT = r"^ ?(?:%|[$€£]|(?:km|kg|mm|cm|m|g|ms|s|mb|gb|kb|years?|days?|hours?|times|units?|items?|people|pages?)\b)"
+FEATURES = (
+    "kind", "length", "digits", "groups", "separators", "hex_share", "upper_share", "lower_share", "distinct", "quoted", "assigned", "number_word", "secret_word", "contact_word", "lead_plus", "cyclic",
+    "closed", "unit",
+)
+#: A threshold is at least LEAST: the examples are easier to tell apart than what texts hold.
+PRECISION, LEAST = 0.98, 0.5
+TREES, DEPTH = 20, 4
+#: Items of a list that one step adds up; a list is put together from such blocks.
+BLOCK = 256
+#: Characters of a piece of a text that is redacted.
+PIECE = 8192
+
+
+def _scanned(items: Column, init: Column, step: Callable, emit: Callable, kind: str) -> Column:
+    """emit(state before it, item) of each item in order, as array<kind>; step(state, item) gives the next state.
+
+    Adding to an array copies it, so results are gathered in blocks: first the state before each block, then each
+    block's results.
+    """
+    last = F.floor((F.size(items) - 1) / BLOCK).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(items, k * BLOCK + 1, F.lit(BLOCK)))
+    none = F.array().cast(f"array<{kind}>")
+
+    def gather(acc: Column, x: Column) -> Column:
+        return F.struct(step(acc["state"], x).alias("state"), F.concat(acc["out"], F.array(emit(acc["state"], x))).alias("out"))
+
+    def advance(acc: Column, block: Column) -> Column:
+        made = F.aggregate(block, F.struct(acc["state"].alias("state"), none.alias("out")), gather)
+        return F.struct(made["state"].alias("state"), F.concat(acc["out"], F.array(made["out"])).alias("out"))
+
+    begin = F.struct(init.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    return F.when(F.size(items) > 0, F.aggregate(blocks, begin, advance, lambda acc: F.flatten(acc["out"]))).otherwise(none)
+
 
+SPAN = "struct<start:int,end:int,value:string,before:string,after:string>"
 
-def _found(text: Column, pattern: str) -> tuple[Column, Column]:
-    """All matches of a pattern, and the texts between them."""
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
 
+def _spans(pieces: str) -> Column:
+    """array<SPAN> from an array of struct<between, match, after>: the lengths of matches and of the texts between them add up to the positions."""
+    init = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"))
 
-def _spans(matches: Column, between: Column) -> Column:
-    """array<struct<start, end, value>> from matches and the texts between them, whose lengths add up to the positions."""
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    begin = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+    def step(state: Column, p: Column) -> Column:
+        tail = F.right(F.concat(state["tail"], p["between"], p["match"]), F.lit(BEFORE))
+        return F.struct((state["at"] + F.length(p["between"]) + F.length(p["match"])).alias("at"), tail.alias("tail"))
 
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["between"])
-        end = start + F.length(pair["match"])
-        one = F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), pair["match"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def emit(state: Column, p: Column) -> Column:
+        start = state["at"] + F.length(p["between"])
+        before = F.right(F.concat(state["tail"], p["between"]), F.lit(BEFORE))
+        return F.struct(start.alias("start"), (start + F.length(p["match"])).alias("end"), p["match"].alias("value"), before.alias("before"), p["after"].alias("after"))
 
-    pairs = F.arrays_zip(F.slice(between, F.lit(1), F.size(matches)).alias("between"), matches.alias("match"))
-    pairs = F.transform(pairs, lambda p: F.struct(p["between"].alias("between"), p["match"].alias("match")))
-    return F.when(F.size(matches) > 0, F.aggregate(pairs, begin, step, lambda acc: acc["out"])).otherwise(empty)
+    return _scanned(F.col(pieces), init, step, emit, SPAN)
 
 
 def _digits(value: Column) -> Column:
@@ -108,11 +149,11 @@ def _share(value: Column, drop: str) -> Column:
     return F.length(F.regexp_replace(value, drop, "")) / F.length(value)
 
 
-def _features(kind: str, text: Column, span: Column) -> Column:
-    value = span["value"]
-    context = F.lower(F.substring(text, F.greatest(span["start"] - BEFORE, F.lit(0)) + 1, F.least(span["start"], F.lit(BEFORE))))
+def _features(kind: str, span: Column) -> Column:
+    """array<double> in the order of FEATURES."""
+    value, context, after = span["value"], F.lower(span["before"]), span["after"]
     made = {
-        "kind": F.lit(float(list(MORE).index(kind))),
+        "kind": F.lit(float(MORE_KINDS.index(kind))),
         "length": F.length(value),
         "digits": F.length(_digits(value)),
         "groups": F.size(F.split(value, "[^0-9A-Za-z]+")),
@@ -128,23 +169,24 @@ def _features(kind: str, text: Column, span: Column) -> Column:
         "contact_word": _has(context, CONTACT_WORDS),
         "lead_plus": F.rlike(context, F.lit("\\+$")).cast("double"),
         "cyclic": F.rlike(value, F.lit("^(.{1,4})\\1{4}")).cast("double"),
+        "closed": F.rlike(after, F.lit("^[\"'`]")).cast("double"),
+        "unit": F.rlike(F.lower(after), F.lit(UNIT)).cast("double"),
     }
-    return F.struct(*(made[f].cast("double").alias(f) for f in FEATURES))
+    return F.array(*(made[f].cast("double") for f in FEATURES))
 
 
-def _feature_row(kind: str, context: str, value: str) -> list[float]:
+def _feature_row(kind: str, context: str, value: str, after: str = "") -> list[float]:
     """The same features in Python, for the generated examples (and for tests of the expressions)."""
-    import re
-
     low = context.lower()[-BEFORE:]
     n = max(1, len(value))
     count = lambda p: sum(1 for c in value if re.match(p, c))
     has = lambda words: float(any(w in low for w in words))
     made = {
-        "kind": list(MORE).index(kind), "length": len(value), "digits": count("[0-9]"), "groups": len(re.split("[^0-9A-Za-z]+", value)),
+        "kind": MORE_KINDS.index(kind), "length": len(value), "digits": count("[0-9]"), "groups": len(re.split("[^0-9A-Za-z]+", value)),
         "separators": len(value) - count("[0-9A-Za-z]"), "hex_share": count("[0-9a-fA-F]") / n, "upper_share": count("[A-Z]") / n, "lower_share": count("[a-z]") / n,
         "distinct": len(set(value)), "quoted": bool(re.search("[\"'`]$", low)), "assigned": bool(re.search("[=:][\\s\"'`]*$", low)),
         "number_word": has(NUMBER_WORDS), "secret_word": has(SECRET_WORDS), "contact_word": has(CONTACT_WORDS), "lead_plus": low.endswith("+"), "cyclic": bool(re.match(r"^(.{1,4})\1{4}", value)),
+        "closed": bool(re.match("[\"'`]", after)), "unit": bool(re.match(UNIT, after[:AFTER].lower())),
     }
     return [float(made[f]) for f in FEATURES]
 
@@ -167,6 +209,7 @@ def examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         lambda: ("number", r.choice([prose(), announce(NUMBER_WORDS)]), f"({digits(3)}) {digits(3)}-{digits(4)}"),
         lambda: ("number", r.choice([prose(), announce(NUMBER_WORDS)]), f"{digits(3)}{(s := r.choice('-. '))}{digits(3)}{s}{digits(4)}"),
         lambda: ("number", r.choice([prose(), announce(NUMBER_WORDS)]), f"{digits(3)}-{digits(2)}-{digits(4)}"),
+        lambda: ("number", r.choice([prose(), announce(NUMBER_WORDS)]), (s := r.choice("- ")).join(digits(4) for _ in range(4))),
         lambda: ("number", announce(NUMBER_WORDS), digits(r.randint(7, 18))),
         lambda: ("number", announce(NUMBER_WORDS), " ".join(digits(r.randint(2, 4)) for _ in range(r.randint(3, 5)))),
         lambda: ("secret", r.choice([announce(SECRET_WORDS), prose() + r.choice(SECRET_WORDS) + r.choice([' = "', ": '", "=", '="'])]), pick(hexa, r.choice([24, 32, 40, 64]))),
@@ -194,70 +237,116 @@ def examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     for _ in range(n):
         good = r.random() < 0.5
         kind, context, value = r.choice(yes if good else no)()
-        rows.append(_feature_row(kind, context, value))
+        opened = re.search("[\"'`]$", context)
+        counted = kind == "number" and not good and r.random() < 0.3
+        after = opened[0] if opened else r.choice([" km", "%", " years", " items", " $"]) if counted else r.choice([" ", ".", ", ", "\n", ")"]) + word()
+        rows.append(_feature_row(kind, context, value, after))
         truth.append(float(good))
     return np.array(rows), np.array(truth)
 
 
+def _curve(raw: np.ndarray, truth: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the logistic curve that fits the truth of these scores best (by Newton's steps)."""
+    x = np.column_stack([raw, np.ones(len(raw))])
+    w = np.array([1.0, 0.0])
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        bend = x.T @ (x * (p * (1 - p))[:, None]) + 1e-2 * np.eye(2)
+        w = w - np.linalg.solve(bend, x.T @ (p - truth) + 1e-2 * (w - [1.0, 0.0]))
+    return float(w[0]), float(w[1])
+
+
 @cache
-def model() -> tuple[Forest, dict[str, float]]:
-    """The trees and the threshold of each further kind."""
-    forest = fit(*examples(6000, 7), trees=20, depth=4, rate=0.4)
-    x, y = examples(3000, 8)
-    p = forest.scores(x)
-    cuts = {}
-    for k, kind in enumerate(MORE):
-        own = x[:, 0] == k
-        tried = [c for c in np.unique(np.round(p[own], 3)) if c > 0 and y[own][p[own] >= c].mean() >= PRECISION] if own.any() else []
-        cuts[kind] = float(min(tried, default=0.9))
-    return forest, cuts
-
-
-def _tree(forest: Forest, node: int, features: Column) -> Column:
-    f = int(forest.feature[node])
-    if f < 0:
-        return F.lit(float(forest.value[node]))
-    left = int(forest.left[node])
-    return F.when(features[FEATURES[f]] > float(forest.threshold[node]), _tree(forest, left + 1, features)).otherwise(_tree(forest, left, features))
-
-
-def _probability(forest: Forest, features: Column) -> Column:
-    total = F.lit(float(forest.base))
-    for root in forest.roots.tolist():
-        total = total + _tree(forest, root, features)
-    return 1 / (1 + F.exp(-total))
+def model() -> tuple[Forest, dict[str, tuple[float, float, float]]]:
+    """The trees, and for each further kind the slope and offset of its curve and its threshold."""
+    forest = fit(*examples(6000, 7), trees=TREES, depth=DEPTH, rate=0.4)
+    (x, y), (x2, y2) = examples(3000, 8), examples(3000, 9)
+    curves = {}
+    for k, kind in enumerate(MORE_KINDS):
+        one, two = x[:, 0] == k, x2[:, 0] == k
+        a, b = _curve(_logit(forest.scores(x[one])), y[one])
+        p = 1 / (1 + np.exp(-(a * _logit(forest.scores(x2[two])) + b)))
+        tried = [c for c in np.unique(np.round(p, 3)) if c >= LEAST and (p >= c).any() and y2[two][p >= c].mean() >= PRECISION]
+        curves[kind] = (a, b, float(min(tried, default=0.9)))
+    return forest, curves
+
+
+def _logit(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, 1e-9, 1 - 1e-9)
+    return np.log(p / (1 - p))
+
+
+def _numbers(values, kind: str) -> Column:
+    """A constant array, written as one literal so that plans stay small."""
+    return F.split(F.lit(",".join(repr(v) for v in values)), ",").cast(f"array<{kind}>")
+
+
+def _score(forest: Forest, x: Column) -> Column:
+    """The raw score of a feature array. A leaf leads to itself, so each tree is walked DEPTH steps."""
+    leaf = forest.feature < 0
+    feature = _numbers(np.where(leaf, 0, forest.feature).tolist(), "int")
+    threshold = _numbers(np.where(leaf, 1e300, forest.threshold).tolist(), "double")
+    left = _numbers(np.where(leaf, np.arange(len(leaf)), forest.left).tolist(), "int")
+    value = _numbers(forest.value.tolist(), "double")
+    levels = _numbers(range(DEPTH), "int")
+
+    def walk(root: Column) -> Column:
+        return F.aggregate(levels, root, lambda at, _: F.get(left, at) + (F.get(x, F.get(feature, at)) > F.get(threshold, at)).cast("int"))
+
+    return F.aggregate(_numbers(forest.roots.tolist(), "int"), F.lit(float(forest.base)), lambda total, root: total + F.get(value, walk(root)))
 
 
 def find(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with pii: array<struct<kind, start, end>>, by kind as in KINDS, then by start; the first kinds are the base."""
-    forest, cuts = model()
-    names = [c for c in df.columns if c.lower() != "pii"]
-    own = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    forest, curves = model()
+    names = [f"`{c}`" for c in df.columns if c.lower() != "pii"]
+    patterns = BASE | {g: p for g, (_, p) in MORE.items()}
+    t = F.col("__t")
+
+    def able(generator: str) -> Column:
+        hit = F.lit(generator == "opaque")
+        for literal in NEEDS.get(generator, ()):
+            hit = hit | F.contains(t, F.lit(literal))
+        return hit if generator in NEEDS else F.col("__digit")
+
     # One step each for matches, texts between, spans, features and scores: no step repeats another's work.
-    step = df.select(*(df[f"`{c}`"] for c in names), own.alias("__t"))
-    patterns = BASE | MORE
-    step = step.select(*(f"`{c}`" for c in names), "__t", *(_found(F.col("__t"), p)[0].alias(f"__m_{k}") for k, p in patterns.items()))
-    between = {k: F.when(F.size(f"__m_{k}") > 0, _found(F.col("__t"), p)[1]) for k, p in patterns.items()}
-    step = step.select(*(f"`{c}`" for c in names), "__t", *(f"__m_{k}" for k in patterns), *(b.alias(f"__b_{k}") for k, b in between.items()))
-    step = step.select(*(f"`{c}`" for c in names), "__t", *(_spans(F.col(f"__m_{k}"), F.col(f"__b_{k}")).alias(f"__s_{k}") for k in patterns))
+    step = df.select(*names, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__t"))
+    step = step.select("*", F.rlike(t, F.lit("[0-9]")).alias("__digit"))
+    none = F.array().cast("array<string>")
+    step = step.select(*names, "__t", *(F.when(able(g), F.regexp_extract_all(t, F.lit(p), F.lit(0))).otherwise(none).alias(f"__m_{g}") for g, p in patterns.items()))
+    step = step.select(*names, *(f"__m_{g}" for g in patterns), *(F.when(F.size(f"__m_{g}") > 0, F.split(t, p, -1)).otherwise(none).alias(f"__b_{g}") for g, p in patterns.items()))
 
-    def named(kind: str, spans: Column) -> Column:
-        return F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    def pieces(g: str) -> Column:
+        matches, between = F.col(f"__m_{g}"), F.col(f"__b_{g}")
+        zipped = F.arrays_zip(F.slice(between, F.lit(1), F.size(matches)).alias("a"), matches.alias("b"), F.slice(between, F.lit(2), F.size(matches)).alias("c"))
+        return F.transform(zipped, lambda z: F.struct(z["a"].alias("between"), z["b"].alias("match"), F.left(z["c"], F.lit(AFTER)).alias("after"))).alias(f"__p_{g}")
 
-    def described(kind: str) -> Column:
-        return F.transform(F.col(f"__s_{kind}"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), _features(kind, F.col("__t"), s).alias("x"))).alias(f"__x_{kind}")
+    step = step.select(*names, *(pieces(g) for g in patterns))
+    step = step.select(*names, *(_spans(f"__p_{g}").alias(f"__s_{g}") for g in patterns))
 
     def accepted(kind: str) -> Column:
-        return named(kind, F.filter(F.col(f"__s_{kind}"), lambda s: _accepted(kind, s["value"])))
+        return F.transform(F.filter(F.col(f"__s_{kind}"), lambda s: _accepted(kind, s["value"])), lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+
+    def described(g: str, kind: str) -> Column:
+        return F.transform(F.col(f"__s_{g}"), lambda s: F.struct(F.lit(MORE_KINDS.index(kind)).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), _features(kind, s).alias("x")))
 
-    base, more = [accepted(k) for k in BASE], [described(k) for k in MORE]
-    step = step.select(*(f"`{c}`" for c in names), F.concat(*base).alias("__base"), *more)
+    step = step.select(*names, F.concat(*(accepted(k) for k in BASE)).alias("__base"), F.concat(*(described(g, k) for g, (k, _) in MORE.items())).alias("__x"))
+    slope, offset, cut = (_numbers([curves[k][i] for k in MORE_KINDS], "double") for i in range(3))
 
-    def chosen(kind: str) -> Column:
-        free = lambda s: ~F.exists(F.col("__base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        return named(kind, F.filter(F.col(f"__x_{kind}"), lambda s: (_probability(forest, s["x"]) >= cuts[kind]) & free(s)))
+    def chosen(c: Column) -> Column:
+        k = c["kind"]
+        return 1 / (1 + F.exp(-(F.get(slope, k) * _score(forest, c["x"]) + F.get(offset, k)))) >= F.get(cut, k)
 
-    return step.select(*(f"`{c}`" for c in names), F.concat("__base", *(chosen(k) for k in MORE)).alias("pii"))
+    step = step.select(*names, "__base", F.filter("__x", chosen).alias("__x"))
+    # In order of starts, of equal ones the longest first, the base first: what ends no later than another did is in that one.
+    base = F.transform("__base", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), F.lit(-1).alias("kind")))
+    more = F.transform("__x", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind")))
+    step = step.select(*names, "__base", F.when(F.size("__x") > 0, F.array_sort(F.concat(base, more))).otherwise(F.array().cast("array<struct<start:int,back:int,kind:int>>")).alias("__all"))
+    fresh = _scanned(F.col("__all"), F.lit(-1), lambda until, s: F.greatest(until, -s["back"]), lambda until, s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), (-s["back"]).alias("end"), (-s["back"] > until).alias("out")), "struct<kind:int,start:int,end:int,out:boolean>")
+    step = step.select(*names, "__base", F.array_sort(F.filter(fresh, lambda s: s["out"] & (s["kind"] >= 0))).alias("__all"))
+    kinds = F.split(F.lit(",".join(MORE_KINDS)), ",")
+    added = F.transform("__all", lambda s: F.struct(F.get(kinds, s["kind"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    return step.select(*names, F.concat("__base", added).alias("pii"))
 
 
 def _written(spans: Column) -> Column:
@@ -277,26 +366,35 @@ def digest(found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with each span of ``text`` replaced by its kind in brackets; overlapping spans become one, named by the first."""
     found = find(df, text)
-    names = [c for c in df.columns if c.lower() != "pii"]
+    names = [f"`{c}`" for c in df.columns if c.lower() != "pii"]
     own = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     order = F.array_sort(F.transform("pii", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    step = found.select(*names, order.alias("__order"))
+    # What a span adds to those before it: from the end of these on; only the first of overlapping ones is named.
+    cut = _scanned(F.col("__order"), F.lit(0), lambda until, s: F.greatest(until, s["end"]), lambda until, s: F.struct(F.greatest(until, s["start"]).alias("start"), s["end"].alias("end"), F.when(s["start"] >= until, s["kind"]).alias("kind")), "struct<start:int,end:int,kind:string>")
+    step = step.select(*names, F.filter(cut, lambda s: s["end"] > s["start"]).alias("__cut"))
 
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.array(F.substring(own, acc["at"] + 1, s["start"] - acc["at"]), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
+    def clean(piece: Column, k: Column) -> Column:
+        """A piece of the text without what of the spans lies in it; a span is named where it begins."""
+        low = k * PIECE
+        inside = F.filter("__cut", lambda s: (s["start"] < low + PIECE) & (s["end"] > low))
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def finish(acc: Column) -> Column:
-        return F.concat(F.array_join(acc["out"], ""), F.substring(own, acc["at"] + 1, F.length(own)))
+        def cover(acc: Column, s: Column) -> Column:
+            a, b = F.greatest(s["start"] - low, F.lit(0)), F.least(s["end"] - low, F.lit(PIECE))
+            name = F.when((s["start"] >= low) & s["kind"].isNotNull(), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")
+            return F.struct(b.alias("at"), F.concat(acc["out"], F.array(F.substr(piece, acc["at"] + 1, a - acc["at"]), name)).alias("out"))
 
-    clean = F.when(F.size("pii") > 0, F.aggregate(order, begin, step, finish)).otherwise(F.col(f"`{text}`"))
-    return found.select(*(clean.alias(c) if c == text else F.col(f"`{c}`") for c in names))
+        return F.aggregate(inside, begin, cover, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(piece, acc["at"] + 1, F.lit(PIECE))))
+
+    pieces = F.transform(F.sequence(F.lit(0), F.floor(F.length(own) / PIECE).cast("int")), lambda k: F.substr(own, k * PIECE + 1, F.lit(PIECE)))
+    step = step.select("*", F.when(F.size("__cut") > 0, pieces).alias("__pieces"))
+    masked = F.when(F.size("__cut") > 0, F.array_join(F.transform("__pieces", clean), "")).otherwise(F.col(f"`{text}`"))
+    return step.select(*(masked.alias(c) if c == text else F.col(f"`{c}`") for c in df.columns if c.lower() != "pii"))
 
 
 def brute_force(text: str | None) -> list[tuple[str, int, int]]:
     """The base spans by the contract's patterns as they are written; for tests."""
-    import re
-
     text = text or ""
     plain = {
         "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
