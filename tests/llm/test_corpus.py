@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -127,6 +128,19 @@ def test_substring_dedup(docs, rows, empty):
     assert substring_dedup.deduplicate(empty).count() == 0
 
 
+def test_substring_dedup_equals_its_sql(spark, rows, tmp_path):
+    import duckdb
+
+    from tessera.llm import queries
+
+    odd = [(i, None if t is None else t.replace("🙂", "\u00a0\u2003z")) for i, t in rows]
+    spark.createDataFrame(odd, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = {tuple(r) for r in queries.op5_substring_dedup(spark, str(tmp_path)).collect()}
+    assert got == set(con.execute(queries.oracle_sql()["op5_substring_dedup"]).fetchall())
+
+
 def test_substring_dedup_of_many_short_repeats(spark):
     r = random.Random(9)
     passages = [_words(r, 14) for _ in range(6)]
@@ -555,6 +569,42 @@ def test_quality(spark, empty):
     assert [x.score for x in none] == [0.5]
 
 
+def test_quality_statistics_equal_brute_force():
+    """Each statistic from strings, over odd texts and invented ones."""
+    import math
+    import string
+    from collections import Counter
+
+    def own(text):
+        if not text:
+            return [0.0] * len(quality.FEATURES)
+        words = [w for w in re.split("[ \t-\r]+", text) if w]
+        lines = text.split("\n")
+        n, k = max(1, len(text)), max(1, len(words))
+        share = lambda chars: sum(c in chars for c in text) / n
+        symbols = set(string.punctuation) - set(".,;:'\"()?-")
+        size = lambda w: len(w.encode())
+        upper, lower = set(string.ascii_uppercase), set(string.ascii_lowercase)
+        # A break at the end begins no further line here.
+        kept = [x + "\n" for x in lines[:-1]] + ([lines[-1]] if lines[-1] else [])
+        made = {
+            "characters": math.log1p(len(text)), "words": math.log1p(len(words)), "lines": math.log1p(text.count("\n") + 1), "upper": share(upper), "digits": share(string.digits),
+            "punctuation": share(string.punctuation), "other_symbols": share(symbols), "word_mean": sum(map(size, words)) / k, "word_longest": math.log1p(max(map(size, words), default=0)),
+            "distinct_words": len(set(words)) / k, "top_word": max(Counter(words).values(), default=0) / k, "repeated_next": sum(a == b for a, b in zip(words, words[1:], strict=False)) / k,
+            "symbol_ends": sum(w[-1] in symbols for w in words) / k, "symbol_words": sum(set(w) <= set(string.punctuation) for w in words) / k,
+            "upper_words": sum(bool(set(w) & upper) and not set(w) & lower for w in words) / k, "digit_words": sum(bool(set(w) & set(string.digits)) for w in words) / k,
+            "line_mean": math.log1p(len(text) / (text.count("\n") + 1)), "short_words": sum(size(w) <= 3 for w in words) / k, "repeated_lines": 1 - len(set(kept)) / max(1, len(kept)),
+            "non_ascii": sum(size(c) for c in text if ord(c) > 127) / size(text), **{name: share(c) for name, c in (("bang", "!"), ("pipe", "|"), ("hash", "#"), ("star", "*"), ("dollar", "$"), ("percent", "%"), ("ampersand", "&"))},
+        }
+        return [made[f] for f in quality.FEATURES]
+
+    r = random.Random(41)
+    texts = [t for _, t in _texts()] + ["".join(r.choice(["A", "b", "é", " ", "\n", "#", "!", ".", "7", "ab ab ", "X9 ", "x\n"]) for _ in range(r.randint(0, 60))) for _ in range(400)]
+    got = quality.statistics(*bpe.text_buffers(pa.array(texts, pa.string())))
+    for row, t in zip(got, texts, strict=True):
+        assert row.tolist() == pytest.approx(own(t)), t
+
+
 def test_quality_forest_walk_equals_recursion():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 5))
