@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's docs. All stages but the last return the columns of documents.
+
+Defined results, in every stage: null and empty texts are documents like others (one of all those without words stays in
+the second stage); other columns of docs, whatever their names, are left out; an empty table gives an empty table; very
+long texts are worked on as a whole. Of rows without an id the second stage keeps all, the other stages judge each by
+its text. Rows that share an id are judged each by its own text, but by the second stage together: they stay or go with
+the class of all their texts.
 """
 
 from __future__ import annotations
@@ -21,26 +27,28 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject; it learns from the labelled rows that are not held out."""
+    """Documents that the quality classifier does not reject; it learns from the labelled rows that are not held out.
+
+    Without labels every document has the same score, 0.5, and stays.
+    """
     forest = quality.train(docs, _table(spark, sf_dir, "labels"))
-    return quality.score(docs, forest).filter("predicted = 1").select(*COLUMNS)
+    return quality.score(docs.select(*COLUMNS), forest).filter("predicted = 1").select(*COLUMNS)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each near-duplicate class."""
-    gone = near_dedup.near_duplicates(docs).filter("not keep").select("doc_id")
+    """The document with the least id of each near-duplicate class. Ties do not occur: equal ids are one document."""
+    gone = near_dedup.near_duplicates(docs).filter("not keep").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no test item."""
-    leaks = decontaminate.contaminated(docs, _table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*COLUMNS)
+    """Documents that hold no test item, each judged where it lies, so nothing is shuffled."""
+    return decontaminate.without_leaks(docs.select(*COLUMNS), _table(spark, sf_dir, "benchmark"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with personal data replaced; n_chars is counted anew."""
-    return pii.redact(docs).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*COLUMNS)
+    """Texts with personal data replaced (a null text stays null); n_chars is counted anew."""
+    return pii.redact(docs.select(*COLUMNS)).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
