@@ -748,3 +748,22 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert "[EMAIL]" in got[62].text
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(0), str(tmp_path)).columns == list(corpus_pipeline.COLUMNS)
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Rows without an id, repeated rows, ids with several texts, null texts and further columns, stage by stage."""
+    r = random.Random(5)
+    item = _words(r, 40)
+    leak, plain = f"{_words(r, 50)} {item}", _words(r, 60)
+    rows = [(None, leak), (None, plain), (None, plain), (1, leak), (1, _words(r, 70)), (2, plain), (2, plain), (3, plain), (4, None), (5, ""), (6, "mail a@b.org")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x", 1, 2) for i, t in rows], SCHEMA + ", ids string, score int, pii int")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = {name: sorted((x.doc_id or 0, x.text or "") for x in stage(spark, docs, str(tmp_path)).collect()) for name, stage in corpus_pipeline.STAGES}
+    every = sorted((i or 0, t or "") for i, t in rows)
+    assert got["quality classifier"] == every and got["byte-level BPE"] == every
+    assert got["benchmark decontamination"] == sorted((i, t) for i, t in every if t != leak)
+    assert got["MinHash near-dedup"] == sorted((i, t) for i, t in every if i not in (3, 5))
+    assert got["PII"] == sorted((i, t.replace("a@b.org", "[EMAIL]")) for i, t in every)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).columns == list(corpus_pipeline.COLUMNS), name
