@@ -18,6 +18,7 @@ KEYWORD_STOP_WORDS = frozenset(
     only own same so than too very just don now and but or if while about up it its what which who whom this that these
     those i me my we our you your he him his she her they them their""".split()
 )
+ENTITY_STOP_WORDS = frozenset("the how does work what when is are a an in to for of and or".split())
 KEYWORD_TRIM = ".,;:!?\"'()[]{}<>|/\\@#$%^&*~`"
 MAX_OFFSET = 10_000
 
@@ -33,7 +34,7 @@ def keywords(query: str) -> list[str]:
     return list(dict.fromkeys(w for w in found if len(w.encode()) >= 2 and w not in KEYWORD_STOP_WORDS))
 
 
-def query_entities(query: str, stop_words: frozenset[str] = RELAX_STOP_WORDS) -> list[str]:
+def query_entities(query: str, stop_words: frozenset[str] = ENTITY_STOP_WORDS) -> list[str]:
     found = (re.sub(r"^[^\w]+|[^\w]+$", "", w).lower() for w in query.split())
     return list(dict.fromkeys(w for w in found if len(w) >= 2 and w not in stop_words))
 

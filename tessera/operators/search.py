@@ -7,14 +7,16 @@ column where an operator needs it. Clocks are parameters.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.queries import TextQuery, keywords
+from tessera.functions.queries import TextQuery, keywords, query_entities
 from tessera.operators.graph import components
 from tessera.operators.merging import page
 
@@ -133,18 +135,39 @@ def cosine(a: Column, b: Column) -> Column:
     return _dot(a, b) / (F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b)))
 
 
-def vector_search(df: DataFrame, vector: list[float], limit: int, id_column: str = "id", column: str = "embedding", threshold: float | None = None) -> DataFrame:
-    """id, score: the exact nearest rows by cosine similarity."""
-    score = cosine(F.col(column), F.array(*(F.lit(float(x)) for x in vector)))
-    rows = df.select(F.col(id_column).alias("id"), score.alias("score"))
-    if threshold is not None:
-        rows = rows.filter(F.col("score") >= threshold)
-    return page(rows, [F.desc("score"), "id"], limit)
+def vector_search(df: DataFrame, vector: list[float], limit: int | None, id_column: str = "id", column: str = "embedding", threshold: float | None = None) -> DataFrame:
+    """id, score: the exact nearest rows by cosine similarity; each Arrow batch is one product. Rows without a direction have no row."""
+    goal = np.asarray(vector, np.float64)
+    goal = goal / (np.linalg.norm(goal) or 1.0)
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, x = unit_vectors(batch.column(0), batch.column(1), len(goal))
+            scores = x @ goal
+            keep = np.ones(len(ids), bool) if threshold is None else scores >= threshold
+            yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(scores[keep], pa.float64())], names=["id", "score"])
+
+    rows = df.filter(F.col(column).isNotNull()).select(F.col(id_column).alias("id"), column)
+    kind = rows.schema["id"].dataType.simpleString()
+    return page(rows.mapInArrow(step, f"id {kind}, score double"), [F.desc("score"), "id"], limit)
+
+
+def unit_vectors(ids: pa.Array, vectors: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """ids and unit vectors of those rows that have one of ``width`` numbers that are not all 0."""
+    lengths = pc.fill_null(pc.list_value_length(vectors), -1)
+    fits = pc.equal(lengths, width)
+    x = vectors.filter(fits).flatten()
+    x = pc.fill_null(x, float("nan")).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, max(1, width))
+    norm = np.linalg.norm(x, axis=1)
+    good = np.isfinite(norm) & (norm > 0)
+    return ids.filter(fits).to_numpy(zero_copy_only=False)[good], x[good] / norm[good, None]
 
 
 def vector_search_many(df: DataFrame, queries: DataFrame, k: int, id_column: str = "id", column: str = "embedding") -> DataFrame:
     """query_id, id, score, rank: the exact k nearest rows of each query, other rows than itself.
 
+    Vectors that are null, zero, or of another length than the first query's have no direction to compare and no row.
+
     Queries are taken in blocks of QUERY_BLOCK, which bounds what is broadcast; each partition multiplies its vectors
     with the block's and passes on k rows for each query, so the shuffle holds k rows a query and partition.
     """
@@ -155,19 +178,19 @@ def vector_search_many(df: DataFrame, queries: DataFrame, k: int, id_column: str
     for block in range(blocks):
         own = named if blocks == 1 else named.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
         rows = own.orderBy("query_id").collect()
-        ids = [r[0] for r in rows]
-        unit = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
-        unit = unit / np.linalg.norm(unit, axis=1, keepdims=True) if len(rows) else unit
+        width = next((len(r[1]) for r in rows if r[1]), 0)
+        ids, unit = unit_vectors(pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.float64())), width)
 
         def step(batches: Iterator[pa.RecordBatch], ids=ids, unit=unit) -> Iterator[pa.RecordBatch]:
-            q = np.array(ids, np.int64)
+            q = ids
             best: dict[int, list[tuple[float, int]]] = {}
             for batch in batches:
-                if not len(q) or not batch.num_rows:
+                if not len(q):
                     continue
-                own = batch.column(0).to_numpy()
-                x = batch.column(1).flatten().to_numpy().astype(np.float64).reshape(len(own), -1)
-                scores = unit @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
+                own, x = unit_vectors(batch.column(0), batch.column(1), unit.shape[1])
+                if not len(own):
+                    continue
+                scores = unit @ x.T
                 scores[q[:, None] == own[None, :]] = -np.inf
                 for i in range(len(q)):
                     top = np.lexsort((own, -scores[i]))[:k]
@@ -221,26 +244,31 @@ def fold(legs: list[DataFrame], base: float = 60.0, limit: int = 200) -> DataFra
     return total.drop("leg").join(first.groupBy("id").agg(F.min("leg").alias("leg")), "id")
 
 
-def vector_clusters(df: DataFrame, threshold: float = 0.85, id_column: str = "id", column: str = "embedding", tables: int = 24, bits: int = 12, seed: int = 5) -> DataFrame:
+def vector_clusters(df: DataFrame, threshold: float = 0.85, id_column: str = "id", column: str = "embedding", tables: int = 24, bits: int = 12, seed: int = 5, exact: bool = False) -> DataFrame:
     """id, root: vectors joined by cosine similarity from ``threshold`` on.
 
     Random hyperplanes give each vector a bucket in each of ``tables`` tables; a bucket's members are held against its
     leader (another one in each table) exactly, and links are closed transitively. So buckets make no pairs of all their
-    members; a chain of pairs that share no leader can be missed. Vectors on their own have no row.
+    members; a chain of pairs that share no leader can be missed. With ``exact`` all vectors meet all in blocks, which
+    costs the square of their number and misses nothing. Vectors on their own, and those that are null, zero or of an
+    unusual length, have no row.
     """
+
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = None
         for batch in batches:
-            n = batch.num_rows
-            x = batch.column(1).flatten().to_numpy().astype(np.float64).reshape(n, -1) if n else np.zeros((0, 1))
+            own, x = unit_vectors(batch.column(0), batch.column(1), width)
             if planes is None:
                 planes = np.random.default_rng(seed).normal(size=(x.shape[1], tables * bits))
-            signs = ((x @ planes) > 0).reshape(n, tables, bits)
+            signs = ((x @ planes) > 0).reshape(len(own), tables, bits)
             keys = (signs * (1 << np.arange(bits))).sum(axis=2) + (np.arange(tables) << bits)
-            ids = np.repeat(batch.column(0).to_numpy(), tables)
+            ids = np.repeat(own, tables)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys.ravel(), pa.int64())], names=["id", "key"])
 
     rows = df.select(F.col(id_column).cast("long").alias("id"), F.col(column).alias("v"))
+    width = rows.agg(F.mode(F.size("v"))).first()[0] or 1
+    if exact:
+        return components(_all_pairs(rows.filter(F.size("v") == width), width, threshold))
     buckets = rows.mapInArrow(step, "id long, key long")
     flip = F.xxhash64("key")
     lead = buckets.groupBy("key").agg(F.min(F.col("id").bitwiseXOR(flip)).alias("least"), F.count("*").alias("n")).filter("n > 1").select("key", F.col("least").bitwiseXOR(flip).alias("leader"))
@@ -250,6 +278,51 @@ def vector_clusters(df: DataFrame, threshold: float = 0.85, id_column: str = "id
     return components(near)
 
 
+def _all_pairs(rows: DataFrame, width: int, threshold: float, block: int = 2048) -> DataFrame:
+    """a, b: links that join all classes of vectors with a similar pair; block meets block, each pair of blocks in one group."""
+    parts = max(1, -(-rows.count() // block))
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+    other = F.sequence(F.lit(0), F.lit(parts - 1))
+    sides = dealt.select("id", "v", "part", F.explode(other).alias("with")).select("id", "v", "part", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"))
+
+    def step(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        ids, x = unit_vectors(group.column("id").combine_chunks(), group.column("v").combine_chunks(), width)
+        out: list[tuple[int, int]] = []
+        root = np.arange(len(ids))
+        near = x @ x.T >= threshold
+        for a in range(len(ids)):
+            for b in np.flatnonzero(near[a, a + 1 :]) + a + 1:
+                if root[a] != root[b]:
+                    out.append((int(ids[a]), int(ids[b])))
+                    root[root == root[b]] = root[a]
+        one, two = zip(*out, strict=True) if out else ((), ())
+        return pa.table({"a": pa.array(one, pa.int64()), "b": pa.array(two, pa.int64())})
+
+    return sides.groupBy("i", "j").applyInArrow(step, "a long, b long").distinct()
+
+
+def greedy_clusters(df: DataFrame, order: str, neighbours: int = 10, threshold: float = 0.85, id_column: str = "id", column: str = "embedding") -> DataFrame:
+    """id, lead: each row in its turn (by ``order``, then id) leads those of its nearest ``neighbours`` that are similar and not taken yet.
+
+    The neighbours are found in the cluster; the turns themselves follow one another and run over links only, in one
+    task (a workspace's memories). Rows that lead nobody and are led by nobody have no row.
+    """
+    near = vector_search_many(df, df, neighbours, id_column, column).filter(F.col("score") >= threshold)
+    place = df.select(F.col(id_column).cast("long").alias("query_id"), F.col(order).cast("string").alias("turn"))
+    links = near.join(place, "query_id").select("turn", F.col("query_id").alias("a"), F.col("id").alias("b"), "rank").repartition(1).sortWithinPartitions("turn", "a", "rank")
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken: dict[int, int] = {}
+        for batch in batches:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                if taken.get(a, a) == a and b not in taken:
+                    taken[a] = taken[b] = a
+        yield pa.RecordBatch.from_arrays([pa.array(list(taken), pa.int64()), pa.array(list(taken.values()), pa.int64())], names=["id", "lead"])
+
+    return links.mapInArrow(step, "id long, lead long")
+
+
 def clean_path(path: Column) -> Column:
     """Lower case, without doubled and trailing slashes and '.' steps; .agents/ counts as .agent/."""
     low = F.regexp_replace(F.regexp_replace(F.lower(path), r"/(\./)+", "/"), r"/{2,}", "/")
@@ -286,7 +359,7 @@ def recency_boost(df: DataFrame, now: str, weight: float = 0.3, half_life_days:
     """(1 - weight) of the score over its maximum, and weight of a decay by age. Without weight or half-life nothing changes."""
     if weight <= 0 or half_life_days <= 0:
         return df
-    most = df.agg(F.max("score").alias("__most"))  # one row
+    most = df.select("score").agg(F.max("score").alias("__most"))  # one row
     age = F.greatest(F.lit(0.0), (F.unix_timestamp(F.lit(now)) - F.unix_timestamp(F.col("updated_at").cast("timestamp"))) / 86400.0)
     scaled = F.when(F.col("__most") > 0, F.col("score") / F.col("__most")).otherwise(F.col("score"))
     return df.crossJoin(F.broadcast(most)).withColumn("score", (1 - weight) * scaled + weight * F.exp(-math.log(2) * age / half_life_days)).drop("__most")
@@ -327,14 +400,71 @@ def best_of_documents(df: DataFrame, limit: int | None = None) -> DataFrame:
     return page(df.withColumn("__r", F.row_number().over(first)).filter("__r = 1").drop("__r"), [F.desc("score"), "id"], limit)
 
 
-def hybrid(lexical: DataFrame, vector: DataFrame, rows: DataFrame, query: str, now: str, k: int = 10, recency: float = 0.3, half_life_days: float = 180.0) -> DataFrame:
-    """The whole chain over two legs (id, score) and the rows they name: fusion, duplicates, boosts, recency, cut, snippet.
+@dataclass(frozen=True)
+class Boosts:
+    """Settings of the chain after fusion; the fixed values are the ones that a search without settings has."""
+
+    base_k: float = 60.0
+    path: float = 1.2
+    title: float = 1.3
+    code: float = 1.1
+    prose: float = 0.9
+    recency: float = 0.3
+    half_life_days: float = 180.0
+    entity: float = 0.0
+    importance: float = 0.0
 
-    Each leg is cut to max(3k, 30) first, so all that follows is small whatever the corpus; rows are joined to these only.
+
+def settled_legs(legs: dict[str, DataFrame], depth: int, base_k: float = 60.0) -> tuple[DataFrame, dict[str, list], float]:
+    """(id, score, first leg and rank of the fused rows, the rows of each leg, k): each leg is run once, for its first ``depth`` rows.
+
+    These few rows come to the driver, where ranks, k and fused scores are sums over two short lists.
+    """
+    spark = next(iter(legs.values())).sparkSession
+    rows = {name: page(leg.select("id", "score"), [F.desc("score"), "id"], depth).collect() for name, leg in legs.items()}
+    a, b = (*({r.id for r in own} for own in rows.values()), set())[:2]
+    least = min(len(a), len(b))
+    k = base_k if least < 3 else max(0.5 * base_k, min(2 * base_k, base_k * (1.5 - len(a & b) / least)))
+    score: dict = {}
+    first: dict = {}
+    for name, own in rows.items():
+        for rank, r in enumerate(own):
+            score[r.id] = score.get(r.id, 0.0) + 1 / (k + rank + 1)
+            first.setdefault(r.id, (name, rank))
+    kind = next(iter(legs.values())).schema["id"].dataType.simpleString()
+    fused = [(i, s, *first[i]) for i, s in score.items()]
+    return spark.createDataFrame(fused, f"id {kind}, score double, leg string, leg_rank int"), rows, k
+
+
+def hybrid(legs: dict[str, DataFrame], rows: DataFrame, query: str, now: str, k: int = 10, boosts: Boosts = Boosts(), entities: DataFrame | None = None, importance: DataFrame | None = None,
+           rerank: Callable[[DataFrame], DataFrame] | None = None, size: int = 700, depth: int | None = None) -> DataFrame:
+    """The whole chain over two legs (id, score) and the rows they name: fusion, duplicates, boosts, recency, rerank, cut, snippet.
+
+    Each leg is cut to max(3k, 30) first and run once, so all that follows is small whatever the corpus: ``rows`` are
+    looked up by the ids found, which reaches their scan. ``rows``: id, document_id, content, title, source_path,
+    updated_at. ``rerank`` maps these rows with their scores to rows with new ones, as a model does.
     """
-    depth = max(3 * k, 30)
-    a, b = ranked(lexical, "lexical", depth), ranked(vector, "vector", depth)
-    fused = F.broadcast(rrf([a, b], dynamic_k(a, b)))  # 2 * depth rows at most
-    found = rows.join(fused, "id")
-    found = recency_boost(extension_boost(code_boost(dedup(found), query)), now, recency, half_life_days)
-    return page(found, [F.desc("score"), "id"], k).withColumn("snippet", snippet(F.col("content"), query, 700))
+    fused, _, _ = settled_legs(legs, depth or max(3 * k, 30), boosts.base_k)
+    return ranked_results(fused, rows, query, now, k, boosts, entities, importance, rerank, size)
+
+
+def ranked_results(fused: DataFrame, rows: DataFrame, query: str, now: str, k: int, boosts: Boosts, entities: DataFrame | None, importance: DataFrame | None, rerank, size: int) -> DataFrame:
+    ids = [r.id for r in fused.select("id").collect()]
+    found = rows.filter(F.col("id").isin(ids) if ids else F.lit(False)).join(F.broadcast(fused), "id")  # the legs' rows
+    found = extension_boost(code_boost(dedup(found), query, boosts.path, boosts.title), boosts.code, boosts.prose)
+    found = recency_boost(found, now, boosts.recency, boosts.half_life_days)
+    if entities is not None and boosts.entity > 0:
+        found = entity_boost(found, entities, query_entities(query), boosts.entity)
+    if importance is not None and boosts.importance > 0:
+        found = importance_boost(found, importance, boosts.importance)
+    if rerank is not None:
+        found = rerank(page(found, [F.desc("score"), "id"], max(3 * k, 30)))
+    return page(found, [F.desc("score"), "id"], k).withColumn("snippet", snippet(F.col("content"), query, size))
+
+
+def explained(legs: dict[str, DataFrame], rows: DataFrame, query: str, now: str, k: int = 10, boosts: Boosts = Boosts()) -> dict[str, DataFrame | float]:
+    """What a search is made of: the rows of each leg, k, the fused list and the final one."""
+    fused, own, used = settled_legs(legs, max(3 * k, 30), boosts.base_k)
+    spark, kind = rows.sparkSession, fused.schema["id"].dataType.simpleString()
+    shown = {name: spark.createDataFrame([(r.id, r.score, n) for n, r in enumerate(part)], f"id {kind}, score double, rank int") for name, part in own.items()}
+    return shown | {"k": used, "fused": fused, "results": ranked_results(fused, rows, query, now, k, boosts, None, None, None, 700)}

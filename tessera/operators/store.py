@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.merging import delete_where, page, upsert, where
+from tessera.operators.merging import delete_keys, delete_where, page, upsert, where
 
 BODYLESS = ["id", "workspace_hash", "content_hash", "title", "source_path", "collection", "tags"]
 
@@ -21,8 +21,9 @@ def json_text(column: str, path: str) -> Column:
 
 
 def upsert_documents(docs: DataFrame, new: DataFrame) -> DataFrame:
-    """Key: (source_path, workspace). Rows without a path always append; an old supersedes_id survives a null one."""
-    named, nameless = new.filter("source_path <> ''"), new.filter("source_path = ''")
+    """Key: (source_path, workspace). Rows without a path (null or empty) always append; an old supersedes_id survives a null one."""
+    has_path = F.coalesce(F.col("source_path"), F.lit("")) != ""
+    named, nameless = new.filter(has_path), new.filter(~has_path)
     merged = upsert(docs, named, ["source_path", "workspace_hash"], {"supersedes_id": lambda o, n: F.coalesce(n, o)}, keep=["id", "created_at"])
     return merged.unionByName(nameless.select(*docs.columns))
 
@@ -36,7 +37,7 @@ def documents_with_successor(docs: DataFrame, workspace: str) -> DataFrame:
 def list_symbols(docs: DataFrame, workspace: str, text: str = "", kind: str = "", limit: int = 50) -> DataFrame:
     rows = where(docs, workspace_hash=workspace).filter(json_text("metadata", "source_type") == "symbol")
     if text:
-        rows = rows.filter(F.col("title").ilike(f"%{text}%"))
+        rows = rows.filter(F.contains(F.lower("title"), F.lit(text.lower())))  # % and _ stand for themselves
     if kind:
         rows = rows.filter(json_text("metadata", "kind") == kind)
     return page(rows.select("id", "title", "source_path"), ["title", "id"], limit)
@@ -161,6 +162,32 @@ def delete_workspace(workspace: str, workspaces: DataFrame, **children: DataFram
     return gone | {"workspaces": delete_where(workspaces, F.col("hash") == workspace)}
 
 
+def delete_subtree(prefix: str, docs: DataFrame, chunks: DataFrame, edges: DataFrame, flowcharts: DataFrame) -> dict[str, DataFrame]:
+    """All tables without the files below a directory: their documents, those documents' chunks, edges and flowcharts."""
+    gone = F.startswith("source_path", F.lit(prefix))
+    doomed = docs.filter(gone).select(F.col("id").alias("document_id"))
+    below = F.startswith("source_file", F.lit(prefix))
+    return {"docs": delete_where(docs, gone), "chunks": delete_keys(chunks, doomed, ["document_id"]), "edges": delete_where(edges, below), "flowcharts": delete_where(flowcharts, below)}
+
+
+def sweep_edges(edges: DataFrame, files: DataFrame) -> DataFrame:
+    """The edges whose source file still exists."""
+    return edges.join(files.select(F.col("path").alias("source_file")).distinct(), "source_file", "left_semi")
+
+
+def audit_gaps(docs: DataFrame, chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """gap, id of every row that lacks its counterpart."""
+    def without(rows: DataFrame, key: str, others: DataFrame, gap: str) -> DataFrame:
+        left = rows.select(F.col(key).alias("__k"), F.col("__id")).join(others.withColumnRenamed(others.columns[0], "__k").distinct(), "__k", "left_anti")
+        return left.select(F.lit(gap).alias("gap"), F.col("__id").cast("string").alias("id"))
+
+    named = lambda df, c: df.withColumn("__id", F.col(c))
+    found = without(named(docs, "id"), "id", chunks.select("document_id"), "document without chunks")
+    found = found.union(without(named(chunks, "id"), "document_id", docs.select("id"), "chunk without document"))
+    found = found.union(without(named(chunks.filter("embed_status = 'embedded'"), "id"), "id", embeddings.select("chunk_id"), "embedded chunk without embedding"))
+    return found.union(without(named(embeddings, "chunk_id"), "chunk_id", chunks.select("id"), "embedding without chunk"))
+
+
 # --- edges ---
 
 

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.queries import keywords, relaxed_terms, web_query
+from tessera.functions.queries import keywords, web_query
+from tessera.operators import flows as W
 from tessera.operators import graph as G
+from tessera.operators import lexical as L
 from tessera.operators import metrics as M
 from tessera.operators import search as R
 from tessera.operators import text as X
@@ -28,37 +30,57 @@ def _add(name: str, run: Callable[[Model], DataFrame], tables: str = "", sql: st
 # --- lexical ---
 _TOK = f"tok AS (SELECT id, workspace_hash, collection, tags, {_WORDS} AS w FROM docs)"
 _HITS = "+".join(f"len(list_filter(w, lambda x: x = '{t}'))" for t in ("the", "version"))
+# The words of the test tables that share a stem with the words asked for.
+_VARIANTS = {"licens": ["license", "licensed", "licenses", "licensing"], "version": ["version", "versions"], "public": ["public", "publicly"], "apach": ["apache"], "gnu": ["gnu"]}
+_WORDS_OF = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
+_LEXED = f"lexed AS (SELECT c.id, c.chunk_type, d.workspace_hash, d.collection, d.tags, d.updated_at, d.created_at, {_WORDS_OF.format('d.title')} AS t, {_WORDS_OF.format('c.content')} AS w FROM chunks c JOIN docs d ON d.id = c.document_id)"
 
 
-def keyword_top(m: Model) -> DataFrame:
-    return R.keyword_search(m.docs, web_query("the version"), limit=100)
+def _count_of(column: str, stem: str) -> str:
+    return f"len(list_filter({column}, lambda x: x IN ({', '.join(map(repr, _VARIANTS[stem]))})))"
 
 
-_add("search_keyword", keyword_top, "docs", f"SELECT id, CAST({_HITS} AS DOUBLE) AS score FROM tok WHERE list_contains(w, 'the') AND list_contains(w, 'version') ORDER BY score DESC, id LIMIT 100", _TOK)
-for _name, _ws, _tags in (("search_keyword_workspace", EN, False), ("search_keyword_tags", EN, True), ("search_keyword_all_tags", None, True)):
-    _where = (f" AND workspace_hash = '{_ws}'" if _ws else "") + (" AND list_has_any(tags, ['src0', 'src1'])" if _tags else "")
+def _weight(*stems: str) -> str:
+    return " + ".join(f"{_count_of('t', s)} * 1.0::DOUBLE + {_count_of('w', s)} * 0.4::DOUBLE" for s in stems)
 
-    def _run(m: Model, ws=_ws, tags=_tags) -> DataFrame:
-        rows = m.docs.filter(F.col("workspace_hash") == ws) if ws else m.docs
-        rows = rows.filter(F.arrays_overlap("tags", F.array(F.lit("src0"), F.lit("src1")))) if tags else rows
-        return R.keyword_search(rows, web_query("the version"), limit=100)
 
-    _add(_name, _run, "docs", f"SELECT id, CAST({_HITS} AS DOUBLE) AS score FROM tok WHERE list_contains(w, 'the') AND list_contains(w, 'version'){_where} ORDER BY score DESC, id LIMIT 100", _TOK)
-_add("search_websearch", lambda m: R.keyword_search(m.docs, web_query('"of the" license or licensed -gnu')), "docs", "SELECT id, CAST(len(list_filter(w, lambda x: x = 'of')) + len(list_filter(w, lambda x: x = 'the')) + len(list_filter(w, lambda x: x = 'license')) + len(list_filter(w, lambda x: x = 'licensed')) AS DOUBLE) AS score FROM tok WHERE contains(concat(' ', array_to_string(w, ' '), ' '), ' of the ') AND (list_contains(w, 'license') OR list_contains(w, 'licensed')) AND NOT list_contains(w, 'gnu')", _TOK)
+def _best(score: str, condition: str = "true") -> str:
+    return f"SELECT id, round(score, 6) AS score FROM (SELECT id, {score} AS score FROM lexed WHERE {condition}) WHERE score > 0 ORDER BY score DESC, id LIMIT 100"
+
+
+def _lexical(m: Model, text: str, **filters) -> DataFrame:
+    return L.search(L.filtered(m.chunks, m.docs, **filters), L.web_query(text), 100).select("id", F.round("score", 6).alias("score"))
+
+
+def keyword_top(m: Model) -> DataFrame:
+    return _lexical(m, "the licensing")
+
+
+_ONE = _weight("licens")
+_add("search_keyword", keyword_top, "docs chunks", _best(_ONE), _LEXED)
+for _name, _filters, _where in (
+    ("search_keyword_workspace", {"workspace": EN}, f"workspace_hash = '{EN}'"),
+    ("search_keyword_tags", {"workspace": EN, "tags": ["src0", "src1"]}, f"workspace_hash = '{EN}' AND list_has_any(tags, ['src0', 'src1'])"),
+    ("search_keyword_all_tags", {"tags": ["src0", "src1"]}, "list_has_any(tags, ['src0', 'src1'])"),
+    ("search_keyword_filters", {"chunk_type": "raw", "collection": "src2", "updated": ("2024-01-01 05:00:00", "2024-02-20 00:00:00"), "created": ("2024-01-01 00:30:00", None)}, "chunk_type = 'raw' AND collection = 'src2' AND updated_at BETWEEN TIMESTAMP '2024-01-01 05:00:00' AND TIMESTAMP '2024-02-20' AND created_at >= TIMESTAMP '2024-01-01 00:30:00'"),
+):
+    _add(_name, lambda m, f=_filters: _lexical(m, "the licensing", **f), "docs chunks", _best(_ONE, _where), _LEXED)
+_PAIRS = "(SELECT count(*) FROM unnest(range(1, len({c}))) r(i) WHERE {c}[i] = 'apache' AND {c}[i + 1] = 'license')"
+_add("search_websearch", lambda m: _lexical(m, '"the apache licenses" or public -gnu'), "docs chunks", _best(f"{_PAIRS.format(c='t')} * 1.0::DOUBLE + {_PAIRS.format(c='w')} * 0.4::DOUBLE + {_weight('public')}", f"{_count_of('t', 'gnu')} + {_count_of('w', 'gnu')} = 0"), _LEXED)
 
 
 def _or_query(m: Model) -> DataFrame:
-    terms = relaxed_terms("show the licensed PUBLIC, version!")
-    rows = R.tokenised(m.docs, R.tokens(F.col("content"))).filter(F.arrays_overlap("__w", F.array(*map(F.lit, terms))))
-    return rows.select("id", F.size("__w").cast("long").alias("n"))
+    """No chunk has all of these words, so any of them counts."""
+    best, was = L.relaxed(L.filtered(m.chunks, m.docs), "show the licensed PUBLIC, version zzzz!", 100)
+    return best.select("id", F.round("score", 6).alias("score"), F.lit(was).alias("relaxed"))
 
 
-_add("search_or_relaxed", _or_query, "docs", "SELECT id, len(w) AS n FROM tok WHERE list_has_any(w, ['licensed', 'public', 'version'])", _TOK)
+_add("search_or_relaxed", _or_query, "docs chunks", _best(_weight("licens", "public", "version")).replace("SELECT id, round(score, 6) AS score", "SELECT id, round(score, 6) AS score, true AS relaxed", 1), _LEXED)
 _BM = ", ".join(f"CAST(len(list_filter(w, lambda x: x = '{t}')) AS DOUBLE) AS t{i}" for i, t in enumerate(TERMS))
 _IDF = [f"ln(1 + (s.n - s.d{i} + 0.5) / (s.d{i} + 0.5))" for i in range(3)]
 _SC = " + ".join(f"{_IDF[i]} * t{i} * 2.2 / (t{i} + 1.2 * (0.25 + 0.75 * len / s.mean))" for i in range(3))
 _add("search_bm25", lambda m: R.bm25_search(m.docs, TERMS, limit=200).select("id", F.round("score", 6).alias("score")), "docs", f"SELECT id, round(score, 6) AS score FROM (SELECT id, {_SC} AS score FROM c, s WHERE t0 + t1 + t2 > 0) ORDER BY score DESC, id LIMIT 200", f"{_TOK}, c AS (SELECT id, len(w) AS len, {_BM} FROM tok), s AS (SELECT count(*) AS n, avg(len) AS mean, " + ", ".join(f"count(*) FILTER (WHERE t{i} > 0) AS d{i}" for i in range(3)) + " FROM c)")
-_add("search_cover_density", lambda m: R.cover_density(m.docs, ["the", "license"], limit=100))
+_add("search_cover_density", lambda m: _lexical(m, "licensed version"))
 
 # --- vectors ---
 _add("vector_top_k", lambda m: R.vector_search(m.embeddings, [1.0] * 64, 50, "vec_id").select("id", F.round("score", 6).alias("score")), "emb", f"SELECT vec_id AS id, round(list_cosine_similarity(embedding, {[1.0] * 64}::DOUBLE[]), 6) AS score FROM emb ORDER BY list_cosine_similarity(embedding, {[1.0] * 64}::DOUBLE[]) DESC, id LIMIT 50")
@@ -101,19 +123,28 @@ _add("rank_dedup", lambda m: R.dedup(_scored(m)).select("id", "document_id"), "d
 _KW = keywords("Find src1 documents, the der")
 _BOOST = f"score * CASE WHEN {' OR '.join(f'contains(lower(source_path), {k!r})' for k in _KW)} THEN 1.2 ELSE 1.0 END::DOUBLE * CASE WHEN {' OR '.join(f'contains(lower(title), {k!r})' for k in _KW)} THEN 1.3 ELSE 1.0 END::DOUBLE"
 _add("rank_code_boost", lambda m: R.code_boost(_scored(m), "Find src1 documents, the der").select("id", F.round("score", 6).alias("score")), "docs", f"SELECT id, round({_BOOST}, 6) AS score FROM scored", _S)
-_add("rank_extension_boost", lambda m: R.extension_boost(_scored(m)).select("id", F.round("score", 6).alias("score")), "docs", "SELECT id, round(score * 0.9::DOUBLE, 6) AS score FROM scored", _S)
+_EXT = ("go", "TS", "py", "rb", "md", "rst", "txt", "c", "")
+
+
+def _extensions(m: Model) -> DataFrame:
+    endings = F.split(F.lit(",".join(f".{e}" if e else "" for e in _EXT)), ",")
+    return R.extension_boost(_scored(m).withColumn("source_path", F.concat(F.lit("/a.b/f"), F.get(endings, (F.col("id") % len(_EXT)).cast("int"))))).select("id", F.round("score", 6).alias("score"))
+
+
+_add("rank_extension_boost", _extensions, "docs", f"SELECT id, round(score * CASE WHEN id % {len(_EXT)} < 4 THEN 1.1 WHEN id % {len(_EXT)} < 7 THEN 0.9 ELSE 1.0 END::DOUBLE, 6) AS score FROM scored", _S)
 _DECAY = f"0.7::DOUBLE * score / max(score) OVER () + 0.3::DOUBLE * exp(-ln(2) * greatest(0, (epoch(TIMESTAMP '{NOW}') - epoch(updated_at)) / 86400.0) / 180.0)"
 _add("rank_recency_boost", lambda m: R.recency_boost(_scored(m), NOW).select("id", F.round("score", 6).alias("score")), "docs", f"SELECT id, round({_DECAY}, 6) AS score FROM scored", _S)
 _add("rank_entity_boost", lambda m: R.entity_boost(m.chunks.selectExpr("id", "CAST(chunk_index AS DOUBLE) AS score"), m.entities, ["licensed", "worthless"]).select("id", F.round("score", 6).alias("score")), "chunks entities", "SELECT id, round(chunk_index + CASE WHEN id IN (SELECT chunk_id FROM entities WHERE entity_name IN ('licensed', 'worthless')) THEN 0.3 ELSE 0 END::DOUBLE, 6) AS score FROM chunks")
 
 
 def _importance(m: Model) -> DataFrame:
-    rows = _scored(m).withColumn("source_path", F.concat(F.col("source_path"), F.lit("?symbol="), F.col("title")))
-    scores = _scored(m).filter("score > 50").groupBy(F.col("title").alias("node")).agg((F.max("score") / 101).alias("score")).filter("node <> ''")
-    return R.importance_boost(rows, scores).select("id", F.round("score", 6).alias("score"))
+    """A third of the rows is scored by path and symbol, another by symbol, the last not at all."""
+    rows = _scored(m).withColumn("source_path", F.expr("concat('/f', CAST(id % 5 AS STRING), '?symbol=s', CAST(id % 12 AS STRING), '&kind=x')"))
+    nodes = [(f"/f{k}::s{s}", 0.9 - k / 10) for k in range(5) for s in range(4)] + [(f"s{s}", 0.1 + s / 100) for s in range(8)]
+    return R.importance_boost(rows, m.spark.createDataFrame(nodes, "node string, score double")).select("id", F.round("score", 6).alias("score"))
 
 
-_add("rank_importance_boost", _importance, "docs", "SELECT s.id, round(s.score * (1 + coalesce(p.score, 0.5::DOUBLE) * 0.2::DOUBLE), 6) AS score FROM scored s LEFT JOIN (SELECT title, max(score) / 101 AS score FROM scored WHERE score > 50 AND title <> '' GROUP BY 1) p ON p.title = regexp_extract(concat(s.source_path, '?symbol=', s.title), '[?&]symbol=([^&]*)', 1)", _S)
+_add("rank_importance_boost", _importance, "docs", "SELECT id, round(score * (1 + CASE WHEN id % 12 < 4 THEN 0.9::DOUBLE - (id % 5) / 10::DOUBLE WHEN id % 12 < 8 THEN 0.1::DOUBLE + (id % 12) / 100::DOUBLE ELSE 0.5::DOUBLE END * 0.2::DOUBLE), 6) AS score FROM scored", _S)
 _SNIP = "CASE WHEN length(content) <= 200 THEN content WHEN p IS NULL THEN left(content, 200) ELSE concat(CASE WHEN s > 0 THEN '…' ELSE '' END, substring(content, s + 1, 200 - CASE WHEN s > 0 THEN 1 ELSE 0 END - CASE WHEN s + 200 < length(content) THEN 1 ELSE 0 END), CASE WHEN s + 200 < length(content) THEN '…' ELSE '' END) END"
 _add("rank_snippet", lambda m: m.docs.select("id", R.snippet(F.col("content"), "licensed version", 200).alias("snippet")), "docs", f"SELECT id, {_SNIP} AS snippet FROM (SELECT *, greatest(p - 1 - 100, 0) AS s FROM (SELECT id, content, least(nullif(instr(lower(content), 'licensed'), 0), nullif(instr(lower(content), 'version'), 0)) AS p FROM docs))")
 _add("rank_best_of_documents", lambda m: R.best_of_documents(_scored(m)).select("id", "document_id", "score"), "docs", "SELECT id, document_id, score FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, id) AS r FROM scored) WHERE r = 1", _S)
@@ -124,7 +155,7 @@ def hybrid(m: Model) -> DataFrame:
     rows = m.docs.withColumn("document_id", F.col("id"))
     lexical = R.keyword_search(m.docs, web_query("the of"))
     vector = R.vector_search(m.embeddings, [1.0] * 64, 60, "vec_id")
-    return R.hybrid(lexical, vector, rows, "the of licensed", NOW, 20).select("id", F.round("score", 6).alias("score"), F.length("snippet").cast("long").alias("n"))
+    return R.hybrid({"lexical": lexical, "vector": vector}, rows, "the of licensed", NOW, 20).select("id", F.round("score", 6).alias("score"), F.length("snippet").cast("long").alias("n"))
 
 
 _LEX60, _VEC60 = _LEX.replace("LIMIT 200", "LIMIT 60"), _VEC.replace("LIMIT 200", "LIMIT 60")
@@ -150,21 +181,31 @@ _add("graph_neighbourhood", lambda m: G.neighbourhood(m.edges, _node(m, "supplie
 _add("graph_neighbourhood_edges", lambda m: G.neighbourhood(m.edges, _node(m, "supplier::3"), 2)[1], "edges", "SELECT DISTINCT s AS source_node, t AS target_node, k AS edge_type FROM e WHERE s IN (SELECT node FROM walk) AND t IN (SELECT node FROM walk)", f"{_E}, {_UND}")
 _TOP = "top AS (SELECT node, count(*) AS degree FROM (SELECT s AS node FROM e WHERE k IN ('calls', 'imports', 'contains') UNION ALL SELECT t FROM e WHERE k IN ('calls', 'imports', 'contains')) GROUP BY 1 ORDER BY degree DESC, node LIMIT 200)"
 _add("graph_overview", lambda m: G.overview(m.edges, ["calls", "imports", "contains"], 200)[0], "edges", "SELECT node, degree FROM top", f"{_E}, {_TOP}")
-_add("graph_overview_edges", lambda m: G.overview(m.edges, ["references", "contains"], 200)[1], "edges", "SELECT s AS source_node, t AS target_node, k AS edge_type FROM e WHERE s IN (SELECT node FROM top) AND k IN ('references', 'contains') AND t IN (SELECT node FROM top)", f"{_E}, " + _TOP.replace("'calls', 'imports', 'contains'", "'references', 'contains'"))
+_add("graph_overview_edges", lambda m: G.overview(m.edges, ["references", "contains"], 3)[1], "edges", "SELECT s AS source_node, t AS target_node, k AS edge_type FROM e WHERE k IN ('references', 'contains') AND (s IN (SELECT node FROM top) OR t IN (SELECT node FROM top)) ORDER BY 1, 2, 3 LIMIT 400", f"{_E}, " + _TOP.replace("'calls', 'imports', 'contains'", "'references', 'contains'").replace("LIMIT 200", "LIMIT 3"))
+_add("graph_overview_facts", lambda m: G.overview(m.edges, ["calls", "contains"], 500)[2], "edges", "SELECT count(*) AS total, count(*) > 200 AS truncated FROM (SELECT s FROM e WHERE k IN ('calls', 'contains') UNION SELECT t FROM e WHERE k IN ('calls', 'contains'))", _E)
 _PR = ["c AS MATERIALIZED (SELECT s, t, count(*) AS n FROM e WHERE k <> 'http' GROUP BY 1, 2)", "o AS MATERIALIZED (SELECT s, sum(n) AS n FROM c GROUP BY 1)", "v AS MATERIALIZED (SELECT DISTINCT node FROM (SELECT s AS node FROM c UNION ALL SELECT t FROM c))", "r0 AS MATERIALIZED (SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM v) AS score FROM v)"]
 for _i in range(5):
     _PR.append(f"r{_i + 1} AS MATERIALIZED (SELECT v.node, 0.15::DOUBLE / (SELECT count(*) FROM v) + 0.85::DOUBLE * coalesce(g, 0) AS score FROM v LEFT JOIN (SELECT c.t AS node, sum(r.score * c.n / o.n) AS g FROM c JOIN o ON o.s = c.s JOIN r{_i} r ON r.node = c.s GROUP BY 1) x ON x.node = v.node)")
 _add("graph_pagerank", lambda m: G.pagerank(m.edges.filter("edge_type <> 'http'"), iterations=5, tolerance=0).select("node", F.round("score", 6).alias("score")), "edges", "SELECT node, round(score / (SELECT max(score) FROM r5), 6) AS score FROM r5", f"{_E}, {', '.join(_PR)}")
-_add("graph_flow", lambda m: G.flow(m.edges.withColumn("edge_type", F.when(F.col("edge_type").isin("imports", "references"), "calls").otherwise(F.col("edge_type"))), _node(m, "order::5"), 10, 8))
+
+
+def _flow(m: Model) -> DataFrame:
+    """An order as an endpoint: its customer and parts are handlers, these lead to nations (outside, as no symbol has such a name) and suppliers."""
+    kind = F.when((F.col("source_node") == "order::5") & F.col("edge_type").isin("calls", "imports"), "http").when(F.col("edge_type").isin("references", "contains"), "calls").otherwise(F.col("edge_type"))
+    return W.build_flow(m.edges.withColumn("edge_type", kind), "order::5")[1].select("from_node", "to_node", "edge_type")
+
+
+_add("graph_flow", _flow, "edges", "SELECT DISTINCT s AS from_node, t AS to_node, 'http' AS edge_type FROM e WHERE s = 'order::5' UNION SELECT s, t, 'integration' FROM e WHERE k = 'integration' AND s IN (SELECT t FROM e WHERE s = 'order::5') AND s IN (SELECT s FROM e WHERE k IN ('references', 'contains')) UNION SELECT s, t, 'calls' FROM e WHERE k = 'references' AND s IN (SELECT t FROM e WHERE s = 'order::5')", _E)
+_add("graph_service_name", lambda m: W.service_name(m.edges), "edges", "SELECT split_part(source_file, '/', 1) AS service FROM edges GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1")
 
 
 def _stitch(m: Model) -> DataFrame:
-    publishers = m.docs.selectExpr("collection AS topic", "concat('doc::', CAST(id AS STRING)) AS node", "workspace_hash").filter("node LIKE '%7'").select("topic", "node", "workspace_hash")
+    publishers = m.docs.selectExpr("collection AS topic", "concat('doc::', CAST(id AS STRING)) AS node", "workspace_hash")
     consumers = m.collections.selectExpr("name AS topic", "concat('ON ', path) AS node", "workspace_hash")
     return G.stitch(publishers, consumers)
 
 
-_add("graph_stitch", _stitch, "docs collections", "SELECT DISTINCT p.collection AS topic, concat('doc::', p.id) AS publisher, left(p.workspace_hash, 8) AS from_workspace, concat('ON ', c.path) AS consumer, left(c.workspace_hash, 8) AS to_workspace FROM docs p JOIN collections c ON c.name = p.collection WHERE concat('doc::', p.id) LIKE '%7'")
+_add("graph_stitch", _stitch, "docs collections", "SELECT DISTINCT p.collection AS topic, concat('doc::', p.id) AS publisher, left(p.workspace_hash, 8) AS from_workspace, concat('ON ', c.path) AS consumer, left(c.workspace_hash, 8) AS to_workspace FROM docs p JOIN collections c ON c.name = p.collection")
 _add("graph_context_hash", lambda m: G.context_hash(m.edges), "edges", "SELECT coalesce(a.t, b.s) AS node, sha256(concat(coalesce(x, ''), '|', coalesce(y, ''))) AS hash FROM (SELECT t, string_agg(DISTINCT s, ',' ORDER BY s) AS x FROM e WHERE k = 'calls' GROUP BY 1) a FULL JOIN (SELECT s, string_agg(DISTINCT t, ',' ORDER BY t) AS y FROM e WHERE k = 'calls' GROUP BY 1) b ON a.t = b.s", _E)
 
 # --- text ---

@@ -43,12 +43,29 @@ def _changed_docs(m: Model) -> DataFrame:
 _UPSERTED = """SELECT id, CASE WHEN collection = 'src2' THEN concat('new ', title) ELSE title END AS title, source_path, supersedes_id FROM docs
     UNION ALL SELECT id + 10000000, title, concat(source_path, '.new'), supersedes_id FROM docs WHERE collection = 'src3'
     UNION ALL SELECT id + 10000000, title, '', supersedes_id FROM docs WHERE collection = 'src4'"""
-for _name in ("upsert_document", "upsert_document_by_source_path"):
-    _add(_name, lambda m: S.upsert_documents(m.docs, _changed_docs(m)).select("id", "title", "source_path", "supersedes_id"), "docs", _UPSERTED)
-_PATH = "/de/src3/"
-_add("get_document_by_hash", lambda m: m.docs.join(m.docs.groupBy("content_hash").agg(F.min("id").alias("first")), "content_hash").groupBy("first").agg(F.count("*").alias("n")), "docs", "SELECT min(id) AS first, count(*) AS n FROM docs GROUP BY content_hash")
+_add("upsert_document", lambda m: S.upsert_documents(m.docs, _changed_docs(m)).select("id", "title", "source_path", "supersedes_id"), "docs", _UPSERTED)
+_TIMED = "timestamp_ntz'2024-05-05 00:00:00'"
+
+
+def _changed_files(m: Model) -> DataFrame:
+    """Files seen again: their time and size are taken over, also where these are null."""
+    return _changed_docs(m).withColumn("mod_time", F.expr(f"CASE WHEN collection = 'src2' THEN {_TIMED} END")).withColumn("file_size", F.expr("file_size + 1"))
+
+
+_FILED = """SELECT id, title, CASE WHEN collection = 'src2' THEN '2024-05-05 00:00:00' ELSE CAST(mod_time AS VARCHAR) END AS mod_time, CASE WHEN collection = 'src2' THEN file_size + 1 ELSE file_size END AS file_size FROM (SELECT * REPLACE (CASE WHEN collection = 'src2' THEN concat('new ', title) ELSE title END AS title) FROM docs)
+    UNION ALL SELECT id + 10000000, title, NULL, file_size + 1 FROM docs WHERE collection IN ('src3', 'src4')"""
+_add("upsert_document_by_source_path", lambda m: S.upsert_documents(m.docs, _changed_files(m)).select("id", "title", F.col("mod_time").cast("string").alias("mod_time"), "file_size"), "docs", _FILED)
+# A hash and a path that documents of one workspace have: those of document 17.
+_OF_17 = "SELECT {} FROM docs WHERE id = 17"
+
+
+def _of_17(m: Model, column: str) -> DataFrame:
+    return m.docs.filter("id = 17").select(column, "workspace_hash")
+
+
+_add("get_document_by_hash", lambda m: m.docs.join(F.broadcast(_of_17(m, "content_hash")), ["content_hash", "workspace_hash"], "left_semi").select("id", "title"), "docs", f"SELECT id, title FROM docs WHERE content_hash = ({_OF_17.format('content_hash')}) AND workspace_hash = ({_OF_17.format('workspace_hash')})")
 _add("get_document_by_id", lambda m: where(m.docs, id=17).select("id", "title", "content"), "docs", "SELECT id, title, content FROM docs WHERE id = 17")
-_add("get_document_by_source_path", lambda m: m.docs.filter(F.col("source_path").startswith(_PATH)).select("id", "source_path"), "docs", f"SELECT id, source_path FROM docs WHERE starts_with(source_path, '{_PATH}')")
+_add("get_document_by_source_path", lambda m: m.docs.join(F.broadcast(_of_17(m, "source_path")), ["source_path", "workspace_hash"], "left_semi").select("id", "source_path"), "docs", f"SELECT id, source_path FROM docs WHERE source_path = ({_OF_17.format('source_path')}) AND workspace_hash = ({_OF_17.format('workspace_hash')})")
 _add("list_documents_by_workspace", lambda m: S.documents_with_successor(m.docs, EN).select("id", "title", "collection", "superseded_by"), "docs", f"SELECT id, title, collection, (SELECT min(s.id) FROM docs s WHERE s.supersedes_id = d.id) AS superseded_by FROM docs d WHERE {WS}")
 _add("delete_document_by_id_and_workspace", lambda m: delete_where(m.docs, (F.col("id") == 17) & (F.col("workspace_hash") == EN)).select("id"), "docs", f"SELECT id FROM docs WHERE NOT (id = 17 AND {WS})")
 _add("update_documents_collection", lambda m: update_where(m.docs, (F.col("workspace_hash") == EN) & (F.col("collection") == "src1"), collection="renamed").select("id", "collection"), "docs", f"SELECT id, CASE WHEN {WS} AND collection = 'src1' THEN 'renamed' ELSE collection END AS collection FROM docs")
@@ -76,7 +93,7 @@ _add("delete_flow_documents_by_workspace", lambda m: delete_where(m.docs, (F.col
 _add("list_documents_by_tag", lambda m: S.documents_by_tag(m.docs, "src3").select("id", "title"), "docs", "SELECT id, title FROM docs WHERE list_contains(tags, 'src3') ORDER BY updated_at DESC, id LIMIT 50")
 _add("preload_file_state_by_workspace", lambda m: S.file_states(m.docs, EN), "docs", f"SELECT source_path, content_hash, file_size FROM docs WHERE {WS} AND mod_time IS NOT NULL AND file_size IS NOT NULL")
 _add("delete_legacy_summary_docs_for_symbol", lambda m: delete_where(m.docs, F.col("source_path").startswith("summary://en/src0/1")).select("id"), "docs", "SELECT id FROM docs WHERE NOT starts_with(source_path, 'summary://en/src0/1')")
-_add("update_document_file_state", lambda m: update_where(m.docs, F.col("mod_time").isNull(), file_size=F.length("content")).select("id", "file_size"), "docs", "SELECT id, CASE WHEN mod_time IS NULL THEN length(content) ELSE file_size END AS file_size FROM docs")
+_add("update_document_file_state", lambda m: update_where(m.docs, F.col("mod_time").isNull(), file_size=F.length("content"), mod_time=F.expr(_TIMED)).select("id", "file_size", F.col("mod_time").cast("string").alias("mod_time")), "docs", "SELECT id, CASE WHEN mod_time IS NULL THEN length(content) ELSE file_size END AS file_size, CASE WHEN mod_time IS NULL THEN '2024-05-05 00:00:00' ELSE CAST(mod_time AS VARCHAR) END AS mod_time FROM docs")
 
 # chunks
 
@@ -159,7 +176,7 @@ def _small_parts(m: Model) -> DataFrame:
 _add("get_impactors_by_targets", lambda m: S.callers(m.edges, _small_parts(m)).select("source_node", "edge_type").distinct(), "edges", f"SELECT DISTINCT source_node, edge_type FROM edges WHERE target_node IN ({_PARTS})")
 _add("get_outgoing_edges_by_sources", lambda m: S.callees(m.edges, _small_parts(m)), "edges", f"SELECT DISTINCT {_ES} FROM edges WHERE source_node IN ({_PARTS})")
 _add("list_doc_ids_by_title", lambda m: m.docs.filter(F.lower("title") == "that it.").select("id"), "docs", "SELECT id FROM docs WHERE lower(title) = 'that it.'")
-_add("exists_doc_by_id", lambda m: m.docs.agg(F.max(F.col("id") == 17).alias("found")), "docs", "SELECT EXISTS (SELECT 1 FROM docs WHERE id = 17) AS found")
+_add("exists_doc_by_id", lambda m: _count(m.docs.filter("id = 17").limit(1)).select((F.col("n") > 0).alias("found")), "docs", "SELECT EXISTS (SELECT 1 FROM docs WHERE id = 17) AS found")
 _add("list_reference_edges_by_source", lambda m: S.outgoing(m.edges, GRAPH, "customer::5", "references"), "edges", f"SELECT {_ES} FROM edges WHERE source_node = 'customer::5' AND edge_type = 'references'")
 _add("upsert_reference_edge", lambda m: insert_missing(m.edges.select(*_EK), m.edges.filter("edge_type IN ('calls', 'references')").withColumn("edge_type", F.lit("references")).select(*_EK), _EK), "edges", f"SELECT {_ES} FROM edges UNION SELECT source_node, target_node, 'references' FROM edges WHERE edge_type = 'calls'")
 _add("delete_reference_edges_by_source", lambda m: delete_where(m.edges, (F.col("edge_type") == "references") & (F.col("source_node") == "customer::5")).select(*_EK), "edges", f"SELECT {_ES} FROM edges WHERE NOT (edge_type = 'references' AND source_node = 'customer::5')")
@@ -229,7 +246,16 @@ _add("list_workspaces", lambda m: m.workspaces.orderBy("name"), "workspaces", "S
 _add("count_documents_by_workspace", lambda m: m.docs.groupBy("workspace_hash").agg(F.count("*").alias("n")), "docs", "SELECT workspace_hash, count(*) AS n FROM docs GROUP BY 1")
 _add("count_workspaces", lambda m: _count(m.workspaces), "workspaces", "SELECT count(*) AS n FROM workspaces")
 _add("list_workspaces_with_stats", lambda m: S.workspaces_with_stats(m.workspaces, m.docs, m.chunks).drop("last_updated"), "workspaces chunks", "SELECT hash, name, (SELECT count(*) FROM docs WHERE workspace_hash = hash) AS doc_count, (SELECT count(*) FROM chunks WHERE workspace_hash = hash) AS chunk_count FROM workspaces")
-_add("delete_workspace", lambda m: S.delete_workspace(EN, m.workspaces, docs=m.docs)["workspaces"].select("hash"), "workspaces", f"SELECT hash FROM workspaces WHERE hash <> '{EN}'")
+
+
+def _without_workspace(m: Model) -> DataFrame:
+    """What each table keeps once a workspace is gone with all that belongs to it."""
+    left = S.delete_workspace(EN, m.workspaces, docs=m.docs, chunks=m.chunks, collections=m.collections)
+    counted = [_count(df).select(F.lit(name).alias("name"), "n") for name, df in sorted(left.items())]
+    return counted[0].union(counted[1]).union(counted[2]).union(counted[3])
+
+
+_add("delete_workspace", _without_workspace, "workspaces chunks collections", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t} WHERE {c} <> '{EN}'" for t, c in (("workspaces", "hash"), ("docs", "workspace_hash"), ("chunks", "workspace_hash"), ("collections", "workspace_hash"))))
 _OUT = "workspace_hash NOT IN (SELECT hash FROM workspaces)"
 _add("list_orphan_document_workspaces", lambda m: S.orphans(m.docs, m.workspaces).groupBy("workspace_hash").agg(F.count("*").alias("n")), "docs workspaces", f"SELECT workspace_hash, count(*) AS n FROM docs WHERE {_OUT} GROUP BY 1")
 _add("count_orphan_documents", lambda m: _count(S.orphans(m.docs, m.workspaces)), "docs workspaces", f"SELECT count(*) AS n FROM docs WHERE {_OUT}")
@@ -281,6 +307,24 @@ _add("audit_duplicates", lambda m: m.docs.groupBy("content_hash").agg(F.count("*
 _add("audit_documents_without_embeddings", lambda m: m.docs.join(m.embeddings.select(F.col("document_id").alias("id")), "id", "left_anti").groupBy("collection").agg(F.count("*").alias("n")), "docs emb", "SELECT collection, count(*) AS n FROM docs WHERE id NOT IN (SELECT document_id FROM emb) GROUP BY 1")
 _add("audit_noise", lambda m: m.docs.withColumn("noise", F.expr("exists(array('%src1/%', '%SRC2/1%'), p -> source_path ILIKE p)")).groupBy("noise").agg(F.count("*").alias("n")), "docs", "SELECT source_path ILIKE '%src1/%' OR source_path ILIKE '%SRC2/1%' AS noise, count(*) AS n FROM docs GROUP BY 1")
 _add("audit_edge_sources", lambda m: page(m.edges.groupBy("source_file", "edge_type").agg(F.count("*").alias("n")), [F.desc("n"), "source_file", "edge_type"], 20), "edges", "SELECT source_file, edge_type, count(*) AS n FROM edges GROUP BY 1, 2 ORDER BY n DESC, source_file, edge_type LIMIT 20")
-_add("delete_subtree", lambda m: _count(m.chunks.join(m.docs.filter(~F.col("source_path").startswith("/de/")).select(F.col("id").alias("document_id")), "document_id", "left_semi")), "chunks", "SELECT count(*) AS n FROM chunks c JOIN docs d ON d.id = c.document_id WHERE NOT starts_with(d.source_path, '/de/')")
-_add("orphan_graph_sweep", lambda m: m.edges.join(m.edges.filter("edge_type <> 'http'").select("source_file").distinct(), "source_file", "left_semi").select(*_EK), "edges", f"SELECT {_ES} FROM edges WHERE source_file IN (SELECT source_file FROM edges WHERE edge_type <> 'http')")
+
+
+def _without_subtree(m: Model) -> DataFrame:
+    left = S.delete_subtree("/de/", m.docs, m.chunks, m.edges.withColumn("source_file", F.concat(F.lit("/de/"), "source_file")).filter("edge_type <> 'calls'").unionByName(m.edges.filter("edge_type = 'calls'")), m.flowcharts)
+    counted = [_count(df).select(F.lit(name).alias("name"), "n") for name, df in sorted(left.items())]
+    return counted[0].union(counted[1]).union(counted[2]).union(counted[3])
+
+
+_add("delete_subtree", _without_subtree, "chunks edges flowcharts", "SELECT 'docs' AS name, count(*) AS n FROM docs WHERE NOT starts_with(source_path, '/de/') UNION ALL SELECT 'chunks', count(*) FROM chunks c JOIN docs d ON d.id = c.document_id WHERE NOT starts_with(d.source_path, '/de/') UNION ALL SELECT 'edges', count(*) FROM edges WHERE edge_type = 'calls' UNION ALL SELECT 'flowcharts', count(*) FROM flowcharts")
+_add("orphan_graph_sweep", lambda m: S.sweep_edges(m.edges, m.edges.filter("edge_type <> 'http'").select(F.col("source_file").alias("path"))).select(*_EK), "edges", f"SELECT {_ES} FROM edges JOIN (SELECT DISTINCT source_file FROM edges WHERE edge_type <> 'http') USING (source_file)")
+
+
+def _gaps(m: Model) -> DataFrame:
+    """Documents without chunks, chunks without documents, embedded chunks without embeddings, embeddings without chunks."""
+    some = m.chunks.filter("document_id % 3 <> 0")
+    left = S.audit_gaps(m.docs.filter("collection <> 'src5'"), some, m.embeddings)
+    return left.groupBy("gap").agg(F.count("*").alias("n"))
+
+
+_add("audit_gaps", _gaps, "chunks emb", "SELECT 'document without chunks' AS gap, count(*) AS n FROM docs WHERE collection <> 'src5' AND id % 3 = 0 UNION ALL SELECT 'chunk without document', count(*) FROM chunks c JOIN docs d ON d.id = c.document_id WHERE document_id % 3 <> 0 AND d.collection = 'src5' UNION ALL SELECT 'embedded chunk without embedding', count(*) FROM chunks c LEFT JOIN emb e ON e.chunk_id = c.id WHERE c.document_id % 3 <> 0 AND embed_status = 'embedded' AND e.chunk_id IS NULL UNION ALL SELECT 'embedding without chunk', count(*) FROM emb e LEFT JOIN (SELECT id FROM chunks WHERE document_id % 3 <> 0) c ON c.id = e.chunk_id WHERE c.id IS NULL")
 
