@@ -126,29 +126,31 @@ def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 100, tol
     a source of more than HUB edges lies in several places, and its rank goes to each. Shares that are lost with an
     executor are made again from the checkpoint.
     """
-    links = edges.select("source_node", "target_node")
-    counted = links.groupBy("source_node", "target_node").agg(F.count("*").alias("n"))
+    counted = settled(edges.groupBy("source_node", "target_node").agg(F.count("*").alias("n")))
     out = counted.groupBy("source_node").agg(F.sum("n").alias("out"), (F.floor(F.count("*") / HUB) + 1).alias("places"))
-    shares = settled(counted.join(out, "source_node").select("source_node", F.pmod(F.xxhash64("target_node"), F.col("places")).alias("place"), "target_node", (F.col("n") / F.col("out")).alias("share")))
-    ends = links.select(F.explode(F.array("source_node", "target_node")).alias("node")).distinct()
+    ends = counted.select(F.explode(F.array("source_node", "target_node")).alias("node")).distinct()
     nodes = settled(ends.join(out.select(F.col("source_node").alias("node"), "places"), "node", "left").select("node", F.coalesce("places", F.lit(1).cast("long")).alias("places")))
+    shares = counted.join(out, "source_node").select("source_node", F.pmod(F.xxhash64("target_node"), F.col("places")).alias("place"), "target_node", (F.col("n") / F.col("out")).alias("share"))
     n = nodes.count()
     if n == 0:
         return nodes.select("node", F.lit(0.0).alias("score"))
-    dealt = shares.repartition("source_node", "place").persist()
+    # A number of partitions of its own keeps the cached shares as they are dealt; ranks come to them.
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = shares.repartition(parts, "source_node", "place").sortWithinPartitions("source_node", "place").persist()
+    nodes = nodes.repartition(parts, "node").sortWithinPartitions("node").persist()
     try:
         ranks = nodes.select("node", "places", F.lit(1.0 / n).alias("score"))
         for number in range(1, iterations + 1):
             sent = ranks.filter("score > 0").select(F.col("node").alias("source_node"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("places") - 1)).alias("place"), "score")
             given = dealt.join(sent, ["source_node", "place"]).groupBy(F.col("target_node").alias("node")).agg(F.sum(F.col("score") * F.col("share")).alias("given"))
-            new = ranks.join(given, "node", "left").select("node", "places", ((1 - damping) / n + damping * F.coalesce("given", F.lit(0.0))).alias("score"), F.col("score").alias("was"))
+            before, ranks = ranks, nodes.join(given, "node", "left").select("node", "places", ((1 - damping) / n + damping * F.coalesce("given", F.lit(0.0))).alias("score"))
             if tolerance > 0 or number % STRETCH == 0 or number == iterations:
-                new = settled(new)
-            ranks = new.select("node", "places", "score")
-            if tolerance > 0 and new.agg(F.sum(F.abs(F.col("score") - F.col("was")))).first()[0] < tolerance:
+                ranks = settled(ranks)
+            if tolerance > 0 and ranks.join(before.select("node", F.col("score").alias("was")), "node").agg(F.sum(F.abs(F.col("score") - F.col("was")))).first()[0] < tolerance:
                 break
     finally:
         dealt.unpersist()
+        nodes.unpersist()
     top = ranks.agg(F.max("score").alias("__top"))  # one row
     return ranks.crossJoin(F.broadcast(top)).select("node", (F.col("score") / F.col("__top")).alias("score"))
 

@@ -355,14 +355,20 @@ def extension_boost(df: DataFrame, code: float = 1.1, docs: float = 0.9) -> Data
     return df.withColumn("score", F.col("score") * F.when(ext.isin(*CODE_EXTENSIONS), code).when(ext.isin(*DOC_EXTENSIONS), docs).otherwise(1.0))
 
 
-def recency_boost(df: DataFrame, now: str, weight: float = 0.3, half_life_days: float = 180.0) -> DataFrame:
-    """(1 - weight) of the score over its maximum, and weight of a decay by age. Without weight or half-life nothing changes."""
+def recency_boost(df: DataFrame, now: str, weight: float = 0.3, half_life_days: float = 180.0, few: bool = False) -> DataFrame:
+    """(1 - weight) of the score over its maximum, and weight of a decay by age. Without weight or half-life nothing changes.
+
+    The maximum is an aggregate of its own; of ``few`` rows it is a window over all of them, which reads them once.
+    """
     if weight <= 0 or half_life_days <= 0:
         return df
-    most = df.select("score").agg(F.max("score").alias("__most"))  # one row
+    if few:
+        with_most = df.withColumn("__most", F.max("score").over(Window.partitionBy(F.lit(0))))
+    else:
+        with_most = df.crossJoin(F.broadcast(df.select("score").agg(F.max("score").alias("__most"))))  # one row
     age = F.greatest(F.lit(0.0), (F.unix_timestamp(F.lit(now)) - F.unix_timestamp(F.col("updated_at").cast("timestamp"))) / 86400.0)
     scaled = F.when(F.col("__most") > 0, F.col("score") / F.col("__most")).otherwise(F.col("score"))
-    return df.crossJoin(F.broadcast(most)).withColumn("score", (1 - weight) * scaled + weight * F.exp(-math.log(2) * age / half_life_days)).drop("__most")
+    return with_most.withColumn("score", (1 - weight) * scaled + weight * F.exp(-math.log(2) * age / half_life_days)).drop("__most")
 
 
 def entity_boost(df: DataFrame, entities: DataFrame, names: list[str], factor: float = 0.3) -> DataFrame:
@@ -433,7 +439,7 @@ def settled_legs(legs: dict[str, DataFrame], depth: int, base_k: float = 60.0) -
             first.setdefault(r.id, (name, rank))
     kind = next(iter(legs.values())).schema["id"].dataType.simpleString()
     fused = [(i, s, *first[i]) for i, s in score.items()]
-    return spark.createDataFrame(fused, f"id {kind}, score double, leg string, leg_rank int"), rows, k
+    return spark.createDataFrame(fused, f"id {kind}, score double, leg string, leg_rank int").coalesce(1), rows, k
 
 
 def hybrid(legs: dict[str, DataFrame], rows: DataFrame, query: str, now: str, k: int = 10, boosts: Boosts = Boosts(), entities: DataFrame | None = None, importance: DataFrame | None = None,
@@ -450,9 +456,10 @@ def hybrid(legs: dict[str, DataFrame], rows: DataFrame, query: str, now: str, k:
 
 def ranked_results(fused: DataFrame, rows: DataFrame, query: str, now: str, k: int, boosts: Boosts, entities: DataFrame | None, importance: DataFrame | None, rerank, size: int) -> DataFrame:
     ids = [r.id for r in fused.select("id").collect()]
-    found = rows.filter(F.col("id").isin(ids) if ids else F.lit(False)).join(F.broadcast(fused), "id")  # the legs' rows
+    named = rows.select("id", "document_id", "content", "title", "source_path", "updated_at")
+    found = named.filter(F.col("id").isin(ids) if ids else F.lit(False)).join(F.broadcast(fused), "id")  # the legs' rows
     found = extension_boost(code_boost(dedup(found), query, boosts.path, boosts.title), boosts.code, boosts.prose)
-    found = recency_boost(found, now, boosts.recency, boosts.half_life_days)
+    found = recency_boost(found, now, boosts.recency, boosts.half_life_days, few=True)
     if entities is not None and boosts.entity > 0:
         found = entity_boost(found, entities, query_entities(query), boosts.entity)
     if importance is not None and boosts.importance > 0:
