@@ -145,3 +145,7 @@ def decode_cursor(cursor: str, key: str) -> int:
 
 def utc(*parts: int) -> datetime:
     return datetime(*parts, tzinfo=UTC)
+
+
+def utc_now() -> datetime:
+    return datetime.now(UTC)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.merging import delete_keys, delete_where, page, upsert, where
+from tessera.operators.text import resolve_links, wikilinks
 
 BODYLESS = ["id", "workspace_hash", "content_hash", "title", "source_path", "collection", "tags"]
 
@@ -87,6 +88,26 @@ def upsert_chunks(chunks: DataFrame, new: DataFrame) -> DataFrame:
     return upsert(chunks, staged.withColumn("embed_status", state).select(*chunks.columns), ["content_hash", "workspace_hash", "document_id"], keep=["id", "created_at"])
 
 
+def replace_chunks(chunks: DataFrame, fresh: DataFrame, written: DataFrame) -> DataFrame:
+    """``chunks`` after documents (``written``: document_id) were chunked anew: equal contents keep their id and state, others of these documents go."""
+    theirs = chunks.join(written.select("document_id").distinct(), "document_id", "left_semi").select(*chunks.columns)
+    key = ["content_hash", "workspace_hash", "document_id"]
+    same = theirs.dropDuplicates(key).join(fresh.select(*key).distinct(), key, "left_semi").select(*chunks.columns)
+    kept = upsert_chunks(same, fresh.dropDuplicates(key))
+    return chunks.join(written.select("document_id").distinct(), "document_id", "left_anti").select(*chunks.columns).unionByName(kept)
+
+
+def replace_links(edges: DataFrame, written: DataFrame, docs: DataFrame) -> DataFrame:
+    """``edges`` with the references of the written documents' wikilinks in place of their old ones; a link that names no document keeps its text."""
+    links = resolve_links(wikilinks(written.select("id", "workspace_hash", "content")), docs)
+    drawn = links.select("workspace_hash", F.col("id").cast("string").alias("source_node"), F.coalesce(F.col("target_id").cast("string"), F.col("target")).alias("target_node"), F.lit("references").alias("edge_type")).distinct()
+    for c in edges.columns:
+        if c not in drawn.columns:
+            drawn = drawn.withColumn(c, F.lit(None).cast(edges.schema[c].dataType))
+    old = written.select(F.col("id").cast("string").alias("source_node"), F.lit("references").alias("edge_type"))
+    return edges.join(old, ["source_node", "edge_type"], "left_anti").select(*edges.columns).unionByName(drawn.select(*edges.columns))
+
+
 def chunk_with_path(chunks: DataFrame, docs: DataFrame, chunk_id: str | None = None) -> DataFrame:
     paths = docs.select(F.col("id").alias("document_id"), "source_path")
     return where(chunks, id=chunk_id).join(paths, "document_id", "left").select("id", "document_id", "chunk_index", F.coalesce("source_path", F.lit("")).alias("source_path"))

@@ -70,10 +70,16 @@ def wikilinks(df: DataFrame, content: str = "content") -> DataFrame:
     return links.withColumn("target", F.trim("target")).withColumn("is_id", F.rlike("target", F.lit(UUID)))
 
 
+#: Candidates of a link that are named; their number is exact.
+NAMED = 20
+
+
 def resolve_links(links: DataFrame, docs: DataFrame) -> DataFrame:
-    """Each link with the least id of a document that has its target as id or, whatever the case, as title, and all candidates."""
-    titles = docs.select(F.lower("title").alias("__key"), "id").union(docs.select(F.col("id").cast("string"), "id"))
-    named = titles.groupBy("__key").agg(F.min("id").alias("target_id"), F.sort_array(F.collect_set("id")).alias("candidates"))
+    """Each link with the least id of a document that has its target as id or, whatever the case, as title; how many do, and the first NAMED of them."""
+    titles = docs.select(F.lower("title").alias("__key"), "id").union(docs.select(F.col("id").cast("string"), "id")).distinct()
+    place = F.row_number().over(Window.partitionBy("__key").orderBy("id"))
+    first = titles.withColumn("__r", place).filter(F.col("__r") <= NAMED).groupBy("__key").agg(F.min("id").alias("target_id"), F.sort_array(F.collect_list("id")).alias("candidates"))
+    named = first.join(titles.groupBy("__key").agg(F.count("*").alias("matches")), "__key")
     return links.join(named, F.lower("target") == F.col("__key"), "left").drop("__key")
 
 
@@ -177,6 +183,49 @@ def chunk(df: DataFrame, id_column: str = "id", content: str = "content") -> Dat
     return df.select(F.col(id_column).cast("long").alias("id"), F.col(content).alias("content")).mapInPandas(step, "id long, chunk_index long, start_line long, end_line long, chunk string, chunk_hash string")
 
 
+# Endings of files that are cut by headings, and of those that are cut by declarations.
+HEADED = (".md", ".markdown", ".mdx", ".rst")
+DECLARED = (".py", ".go", ".ts", ".tsx", ".js", ".jsx", ".rb", ".vue")
+#: Bytes of a declaration from which on it is cut further.
+LONG_SYMBOL = 8192
+
+
+def symbol_pieces(path: str, content: str, starts: list[tuple[int, str]]) -> list[tuple[int, int, int, str, str]]:
+    """(index, first line, last line, chunk, name): a chunk for each declaration, from its line up to the next one; what comes before the first has no name."""
+    rows = content.splitlines(keepends=True)
+    marks = [(1, "")] + sorted(starts) if not starts or min(starts)[0] > 1 else sorted(starts)
+    out: list[tuple[int, int, int, str, str]] = []
+    for (line, name), (after, _) in zip(marks, [*marks[1:], (len(rows) + 1, "")], strict=True):
+        text = "".join(rows[line - 1 : after - 1])
+        if not text.strip():
+            continue
+        parts = split_text(text) if len(text.encode()) > LONG_SYMBOL else [(0, 1, max(1, after - line), text)]
+        out += [(len(out) + k, line + a - 1, line + b - 1, c, name) for k, (_, a, b, c) in enumerate(parts)]
+    return out
+
+
+def chunk_files(files: DataFrame, declarations: DataFrame) -> DataFrame:
+    """path, chunk_index, start_line, end_line, chunk, chunk_hash, chunk_type, symbol_name of source files (path, content).
+
+    Code is cut before its declarations (``declarations``: path, symbol, line), other files where headings and blank
+    lines are; code without declarations like other files. Declarations come to their file's row.
+    """
+    named = declarations.groupBy("path").agg(F.sort_array(F.collect_list(F.struct(F.col("line").cast("int").alias("line"), "symbol"))).alias("starts"))  # of one file
+
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, content, starts in zip(batch["path"], batch["content"], batch["starts"], strict=True):
+                marks = [(s["line"], s["symbol"]) for s in starts] if starts is not None else []
+                if path.endswith(DECLARED) and marks:
+                    rows += [(path, i, a, b, c, hashlib.sha256(c.encode()).hexdigest(), "symbol" if n else "raw", n or None) for i, a, b, c, n in symbol_pieces(path, content or "", marks)]
+                else:
+                    rows += [(path, i, a, b, c, hashlib.sha256(c.encode()).hexdigest(), "raw", None) for i, a, b, c in split_text(content or "")]
+            yield pd.DataFrame(rows, columns=["path", "chunk_index", "start_line", "end_line", "chunk", "chunk_hash", "chunk_type", "symbol_name"])
+
+    return files.select("path", "content").join(named, "path", "left").mapInPandas(step, "path string, chunk_index long, start_line long, end_line long, chunk string, chunk_hash string, chunk_type string, symbol_name string")
+
+
 def embed_text(content: Column, most: int = 3000) -> Column:
     """The first ``most`` bytes, without a character that the cut splits."""
     raw = F.encode(content, "UTF-8")

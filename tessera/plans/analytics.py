@@ -217,7 +217,7 @@ _add("text_sessions", lambda m: X.sessions(m.table("conversations")), "", "SELEC
 _add("text_chunks", lambda m: X.chunk(m.docs))
 _add("text_minified", lambda m: m.docs.select("id", X.minified(F.col("source_path"), F.col("content")).alias("minified")), "docs", "SELECT id, length(content) > 0 AND (list_max(list_transform(string_split(content, chr(10)), lambda x: length(x))) > 2000 OR (strlen(content) > 50000 AND length(content) / len(string_split(content, chr(10))) > 400)) AS minified FROM docs")
 _add("text_memories", lambda m: X.memories(m.table("conversations").selectExpr("conv_id * 1000 + turn AS id", "concat('Decision: ', text) AS content")).select("id", "kind", "memory"), "", "SELECT conv_id * 1000 + turn AS id, 'decision' AS kind, trim(split_part(text, chr(10), 1)) AS memory FROM conversations WHERE trim(split_part(text, chr(10), 1)) <> ''")
-_add("text_links", lambda m: X.resolve_links(X.wikilinks(m.docs.select("id", F.concat(F.coalesce("content", F.lit("")), F.lit(" see [["), F.upper("collection"), F.lit("]] and [[9]] or \\[[no]]")).alias("content"))), m.docs.selectExpr("id", "collection AS title")).select("id", "target", "is_id", "target_id", F.size("candidates").cast("long").alias("n")), "docs", "SELECT d.id, l.target, false AS is_id, t.m AS target_id, t.n FROM docs d, (VALUES (1), (2)) v(x), LATERAL (SELECT CASE x WHEN 1 THEN upper(d.collection) ELSE '9' END AS target) l LEFT JOIN (SELECT collection AS k, min(id) AS m, count(*) AS n FROM docs GROUP BY 1 UNION ALL SELECT '9', min(id), count(*) FROM docs WHERE id = 9) t ON t.k = lower(l.target)")
+_add("text_links", lambda m: X.resolve_links(X.wikilinks(m.docs.select("id", F.concat(F.coalesce("content", F.lit("")), F.lit(" see [["), F.upper("collection"), F.lit("]] and [[9]] or \\[[no]]")).alias("content"))), m.docs.selectExpr("id", "collection AS title")).select("id", "target", "is_id", "target_id", F.col("matches").alias("n")), "docs", "SELECT d.id, l.target, false AS is_id, t.m AS target_id, t.n FROM docs d, (VALUES (1), (2)) v(x), LATERAL (SELECT CASE x WHEN 1 THEN upper(d.collection) ELSE '9' END AS target) l LEFT JOIN (SELECT collection AS k, min(id) AS m, count(*) AS n FROM docs GROUP BY 1 UNION ALL SELECT '9', min(id), count(*) FROM docs WHERE id = 9) t ON t.k = lower(l.target)")
 _add("text_embed_truncate", lambda m: m.docs.select("id", F.length(X.embed_text(F.col("content"))).cast("long").alias("n")))
 
 
