@@ -1,8 +1,8 @@
 """Code graphs from source files (path, content): symbols, edges, routes, integrations, import resolution.
 
-Python is read by its own parser in Arrow batches. For other languages declarations, imports and routes are found by
-patterns in the JVM: names and lines are those of the source, bodies are not parsed, so calls are reported for Python
-only. Extractors are plain functions from files to edges; ``extract`` joins those that a caller asks for.
+Python is read by its own parser in Arrow batches. For other languages declarations and imports are found by patterns in
+the JVM; calls, integrations and routes by the functions of ``calls``, file by file. Extractors are plain functions from
+files to edges; ``extract`` joins those that a caller asks for.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import calls
+
 EDGES = "source_node string, target_node string, edge_type string, source_file string, line long"
 # Names of methods by which Python code sends to a topic or listens to one.
 PUBLISH = frozenset("publish send emit enqueue dispatch broadcast notify produce push".split())
@@ -100,13 +102,16 @@ def python_integrations(path: str, content: str) -> list[tuple[str, str, str, st
     return out
 
 
-def _by_parser(files: DataFrame, parse: Callable[[str, str], list[tuple]]) -> DataFrame:
+def _by_parser(files: DataFrame, parse: Callable[[str, str], list[tuple]], extensions: tuple[str, ...] = (".py",)) -> DataFrame:
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [r for p, c in zip(batch["path"], batch["content"], strict=True) for r in parse(p, c)]
             yield pd.DataFrame(rows, columns=["source_node", "target_node", "edge_type", "source_file", "line"])
 
-    return files.filter(F.endswith("path", F.lit(".py"))).select("path", "content").mapInPandas(step, EDGES)
+    own = F.lit(False)
+    for e in extensions:
+        own = own | F.endswith("path", F.lit(e))
+    return files.filter(own).select("path", "content").mapInPandas(step, EDGES)
 
 
 # Declarations and imports by extension: patterns whose first group is the name.
@@ -118,15 +123,16 @@ PATTERNS: dict[str, dict[str, str]] = {
     },
     "rb": {"contains": r"^[ \t]*(?:def|class|module)[ ]+(?:self\.)?([A-Za-z_][\w:]*[?!]?)", "imports": r"^[ \t]*require(?:_relative)?[ ]+['\"]([^'\"]+)['\"]"},
 }
-# Routes by framework: extensions, a pattern with method, path and handler.
-ROUTES: dict[str, tuple[str, str]] = {
-    "express": ("ts|tsx|js|jsx", r"\b(?:app|router)\.(get|post|put|patch|delete|all)\([ ]*['\"`]([^'\"`]+)['\"`][^\n]*?([A-Za-z_$][\w$.]*)[ ]*\)"),
-    "echo": ("go", r"\b\w+\.(GET|POST|PUT|PATCH|DELETE)\([ ]*\"([^\"]+)\"[ ]*,[ ]*([\w.]+)"),
-    "gin": ("go", r"\b\w+\.(GET|POST|PUT|PATCH|DELETE|Any)\([ ]*\"([^\"]+)\"[^\n]*?([\w.]+)[ ]*\)"),
-    "nethttp": ("go", r"\b\w+\.(HandleFunc|Handle)\([ ]*\"([^\"]+)\"[ ]*,[ ]*([\w.]+)"),
-    "nestjs": ("ts|tsx", r"@(Get|Post|Put|Patch|Delete|All)\([ ]*(?:['\"]([^'\"]*)['\"])?[ ]*\)\s*(?:@[^\n]*\s*)*(?:public[ ]+|private[ ]+)?(?:async[ ]+)?([A-Za-z_$][\w$]*)"),
-    "rails": ("rb", r"(?m)^[ \t]*(get|post|put|patch|delete)[ ]+['\"]([^'\"]+)['\"][ ]*(?:,[ ]*to:|=>)[ ]*['\"]([^'\"]+)['\"]"),
+# Routes by framework: the endings of the files that have them, and a function from path and content to edges; net/http by a pattern.
+ROUTES: dict[str, tuple[tuple[str, ...], Callable[[str, str], list[tuple]]]] = {
+    "express": ((".ts", ".tsx", ".js", ".jsx"), calls.express_routes),
+    "echo": ((".go",), calls.grouped_routes),
+    "gin": ((".go",), calls.grouped_routes),
+    "nestjs": ((".ts", ".tsx"), calls.nest_routes),
+    "nuxt": ((".vue", ".ts", ".js"), lambda path, content: calls.nuxt_routes(path)),
+    "rails": (("routes.rb",), calls.rails_routes),
 }
+NET_HTTP = r"\b\w+\.(HandleFunc|Handle)\([ ]*\"(?:(GET|POST|PUT|PATCH|DELETE)[ ]+)?([^\"]+)\"[ ]*,[ ]*([\w.]+)"
 
 
 def _lines(files: DataFrame, extensions: str) -> DataFrame:
@@ -148,28 +154,53 @@ def declarations(files: DataFrame) -> DataFrame:
 
 
 def routes(files: DataFrame, frameworks: list[str]) -> DataFrame:
-    """http edges from "METHOD path" to handlers, of the frameworks in use; if none is known, of all."""
-    chosen = [f for f in frameworks if f in ROUTES] or list(ROUTES)
+    """http and middleware edges from "METHOD path" to handlers, of the frameworks in use; if none is known, of all."""
+    chosen = [f for f in frameworks if f in ROUTES or f == "nethttp"] or [*ROUTES, "nethttp"]
     out = None
-    for name in chosen:
-        extensions, pattern = ROUTES[name]
-        own = files.filter(F.rlike("path", F.lit(rf"\.({extensions})$")))
-        groups = [F.regexp_extract_all("content", F.lit(pattern), F.lit(g)) for g in (1, 2, 3)]
-        zipped = F.arrays_zip(*(g.alias(a) for g, a in zip(groups, ("method", "route", "handler"), strict=True)))
-        rows = own.select("path", F.explode(zipped).alias("r")).select("path", F.col("r.method").alias("m"), F.col("r.route").alias("p"), F.col("r.handler").alias("h"))
-        method = F.when(F.lower("m").isin("handlefunc", "handle", "all", "any"), "ANY").otherwise(F.upper("m"))
-        route = F.when(F.startswith("p", F.lit("/")), F.col("p")).otherwise(F.concat(F.lit("/"), F.col("p")))
-        rows = rows.select(F.concat_ws(" ", method, route).alias("source_node"), F.col("h").alias("target_node"), F.lit("http").alias("edge_type"), F.col("path").alias("source_file"), F.lit(None).cast("long").alias("line"))
+    for parse, endings in {ROUTES[f][1]: ROUTES[f][0] for f in chosen if f in ROUTES}.items():
+        rows = _by_parser(files, parse, endings)
+        out = rows if out is None else out.union(rows)
+    if "nethttp" in chosen:
+        found = _lines(files, "go").select("path", "line", *(F.regexp_extract("text", NET_HTTP, g).alias(f"g{g}") for g in range(1, 5))).filter("g1 <> ''")
+        rows = found.select(F.concat_ws(" ", F.when(F.col("g2") != "", F.col("g2")).otherwise("ANY"), "g3"), F.substring_index("g4", ".", -1), F.lit("http"), "path", "line")
         out = rows if out is None else out.union(rows)
-    return out.distinct()
+    return out.toDF("source_node", "target_node", "edge_type", "source_file", "line").distinct()
 
 
 def extract(files: DataFrame, frameworks: list[str] = ()) -> DataFrame:
     """All edges of all files, each (kind, source, target, file) once at its first line."""
-    every = _by_parser(files, python_edges).union(_by_parser(files, python_integrations)).union(declarations(files)).union(routes(files, list(frameworks)))
+    every = _by_parser(files, python_edges).union(_by_parser(files, python_integrations)).union(_by_parser(files, calls.edges_of, calls.EXTENSIONS)).union(declarations(files)).union(routes(files, list(frameworks)))
     return every.groupBy("source_node", "target_node", "edge_type", "source_file").agg(F.min("line").alias("line"))
 
 
+def symbols(files: DataFrame) -> DataFrame:
+    """path, symbol, line of all declarations of all languages: a document's or a chunk's name."""
+    every = _by_parser(files, python_edges).union(declarations(files)).filter("edge_type = 'contains'")
+    return every.select(F.col("source_file").alias("path"), F.substring_index("target_node", "::", -1).alias("symbol"), "line").groupBy("path", "symbol").agg(F.min("line").alias("line"))
+
+
+# How good a place a class of a name is in a Ruby program, best first.
+RUBY_PLACES = ("app/", "lib/", "")
+
+
+def resolve_ruby(edges: DataFrame, classes: DataFrame) -> DataFrame:
+    """``edges`` with reconcile edges from calls on classes (Name.method) to the file that defines the class.
+
+    ``classes``: path, symbol. Of several files the first by place (app, lib, others), then the one whose name is the
+    class's in snake case, then the shortest path; reconcile edges that were there before go.
+    """
+    rank = F.lit(len(RUBY_PLACES))
+    for k, place in reversed(list(enumerate(RUBY_PLACES))):
+        rank = F.when(F.startswith("path", F.lit(place)) | F.contains("path", F.lit(f"/{place}")), k).otherwise(rank) if place else rank
+    last = F.regexp_replace(F.substring_index("symbol", "::", -1), "(?<=[a-z0-9])(?=[A-Z])", "_")
+    named = F.when(F.endswith("path", F.concat(F.lit("/"), F.lower(last), F.lit(".rb"))), 0).otherwise(1)
+    best = classes.withColumn("__class", F.substring_index("symbol", "::", -1)).groupBy("__class").agg(F.min_by("path", F.struct(rank, named, F.length("path"), "path")).alias("file"))
+    plain = edges.filter("edge_type <> 'reconcile'")
+    asked = plain.filter((F.col("edge_type") == "calls") & F.rlike("target_node", F.lit(r"^[A-Z][\w:]*\.\w"))).withColumns({"__class": F.substring_index(F.substring_index("target_node", ".", 1), "::", -1), "__method": F.substring_index("target_node", ".", -1)})
+    found = asked.join(best, "__class").select("source_node", F.concat("file", F.lit("::"), "__method").alias("target_node"), F.lit("reconcile").alias("edge_type"), "source_file", "line")
+    return plain.select("source_node", "target_node", "edge_type", "source_file", "line").union(found.distinct())
+
+
 def frameworks(manifests: DataFrame) -> DataFrame:
     """path, framework of go.mod, package.json and Gemfile contents."""
     hits = {

@@ -54,29 +54,55 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "complete") -> DataFr
     return stream.sparkSession.table(name)
 
 
-def ingest(stream: DataFrame, path: str, checkpoint: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame], key: str = "id"):
+def ingest(stream: DataFrame, path: str, checkpoint: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame], key: str = "id", order: list[str] = (), trigger: dict | None = None):
     """Keeps a parquet table of the latest row for each key: each batch is merged and written as a new version.
 
-    Versions are folders by batch id, so a batch that runs again writes the same folder.
+    Of a batch's rows with one key the last by ``order`` counts, of equal ones the last by all columns, so a batch that
+    runs again gives the same rows; versions are folders by batch id, so it writes the same folder. A batch rewrites the
+    table, as a file format without merges has to; a large table is fed in few batches, or partition by partition with a
+    ``merge`` that reads its own part. ``trigger``: as of writeStream.trigger, all that is there now without it
+    (processingTime="2 seconds" waits for changes to settle).
     """
     spark = stream.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
         last = f"{path}/v={batch_id - 1}"
         old = spark.read.parquet(last) if batch_id > 0 else None
-        merge(old, batch.dropDuplicates([key])).write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        latest = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), F.struct(*order, F.xxhash64(*batch.columns))).alias("r")).select("r.*")
+        merge(old, latest).write.mode("overwrite").parquet(f"{path}/v={batch_id}")
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def embed_pending(chunks: DataFrame, embed: Callable[[DataFrame], DataFrame], batch: int = 50, retries: int = 3) -> DataFrame:
+def follow_files(spark: SparkSession, root: str, files_per_trigger: int = 1000) -> DataFrame:
+    """The text files below a directory as a stream: path, size, mtime, content; new and changed files come as they are written."""
+    raw = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_trigger).schema("path string, modificationTime timestamp, length long, content binary").load(root)
+    text = F.col("content").cast("string")
+    return raw.filter(F.is_valid_utf8(text)).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), text.alias("content"))
+
+
+def due(jobs: DataFrame, now: str) -> DataFrame:
+    """The periodic jobs (name, every_seconds, last_run) whose time has come; one that never ran is due."""
+    at = F.expr(f"timestamp_ntz'{now}'")
+    return jobs.filter(F.col("last_run").isNull() | (F.unix_timestamp(at) - F.unix_timestamp(F.col("last_run").cast("timestamp_ntz")) >= F.col("every_seconds")))
+
+
+def embed_pending(chunks: DataFrame, embed: Callable[[DataFrame], DataFrame], batch: int = 50, retries: int = 3, now: str | None = None, wait_seconds: float = 1.0) -> DataFrame:
     """One turn of the embedding queue: the oldest pending chunks, embedded by ``embed`` (id, content -> id, ok).
 
-    Successes become embedded; others count an attempt and become embed_failed after ``retries``. ``chunks`` has id,
-    content, embed_status, attempts, created_at.
+    Successes become embedded; others count an attempt and become embed_failed after ``retries``, or at once where ``ok``
+    is null (a text that the model will never take). With ``now`` and a column tried_at a chunk waits wait_seconds after
+    its first attempt, twice as long after each further one. ``chunks`` has id, content, embed_status, attempts,
+    created_at. ``batch`` is the feature's: a turn takes so many.
     """
-    due = chunks.filter("embed_status = 'pending'").orderBy("created_at", "id").limit(batch)
-    done = embed(due.select("id", "content")).select("id", F.col("ok").alias("__ok"))
-    tried = F.col("attempts") + F.when(F.col("__ok") == F.lit(False), 1).otherwise(0)
-    state = F.when(F.col("__ok"), "embedded").when((F.col("__ok") == F.lit(False)) & (tried >= retries), "embed_failed").otherwise(F.col("embed_status"))
-    return chunks.join(done, "id", "left").withColumns({"embed_status": state, "attempts": tried}).drop("__ok")
+    ready = chunks.filter("embed_status = 'pending'")
+    if now is not None:
+        waited = F.unix_timestamp(F.expr(f"timestamp_ntz'{now}'")) - F.unix_timestamp(F.col("tried_at").cast("timestamp_ntz"))
+        ready = ready.filter(F.col("tried_at").isNull() | (waited >= wait_seconds * F.pow(F.lit(2.0), F.greatest(F.col("attempts") - 1, F.lit(0)))))
+    turn = ready.orderBy("created_at", "id").limit(batch)
+    done = embed(turn.select("id", "content")).select("id", F.struct(F.col("ok")).alias("__r"))
+    told, ok = F.col("__r").isNotNull(), F.col("__r.ok")
+    tried = F.col("attempts") + F.when(told & ~F.coalesce(ok, F.lit(False)), 1).otherwise(0)
+    state = F.when(told & F.coalesce(ok, F.lit(False)), "embedded").when(told & (ok.isNull() | (tried >= retries)), "embed_failed").otherwise(F.col("embed_status"))
+    changed = {"embed_status": state, "attempts": tried} | ({"tried_at": F.when(told, F.expr(f"timestamp_ntz'{now}'")).otherwise(F.col("tried_at"))} if now is not None else {})
+    return chunks.join(done, "id", "left").withColumns(changed).drop("__r")

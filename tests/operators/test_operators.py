@@ -192,15 +192,23 @@ def test_embedding_queue(spark):
     chunks = spark.createDataFrame([("a", "x", "pending", 0, 1), ("b", "y", "pending", 2, 2), ("c", "z", "embedded", 0, 3)], "id string, content string, embed_status string, attempts int, created_at int")
     done = feeds.embed_pending(chunks, lambda d: d.withColumn("ok", F.col("id") == "a"))
     assert {r.id: (r.embed_status, r.attempts) for r in done.collect()} == {"a": ("embedded", 0), "b": ("embed_failed", 3), "c": ("embedded", 0)}
+    hard = feeds.embed_pending(chunks, lambda d: d.withColumn("ok", F.lit(None).cast("boolean")))
+    assert {r.id: r.embed_status for r in hard.collect()} == {"a": "embed_failed", "b": "embed_failed", "c": "embedded"}
+    timed = chunks.withColumn("tried_at", F.when(F.col("id") == "b", F.expr("timestamp_ntz'2024-01-01 00:00:00'")))
+    for at, want in (("2024-01-01 00:00:01", 2), ("2024-01-01 00:00:02", 3)):
+        again = feeds.embed_pending(timed, lambda d: d.withColumn("ok", F.lit(False)), now=at)
+        assert {r.id: r.attempts for r in again.collect()}["b"] == want
+    jobs = spark.sql("SELECT * FROM VALUES ('a', 60, timestamp_ntz'2024-01-01 00:00:00'), ('b', 3600, timestamp_ntz'2024-01-01 00:00:00'), ('c', 1, null) AS t(name, every_seconds, last_run)")
+    assert {r.name for r in feeds.due(jobs, "2024-01-01 00:01:00").collect()} == {"a", "c"}
 
 
 def test_incremental_ingest(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     merge = lambda old, new: new if old is None else merging.upsert(old, new, ["id"])
-    for k, rows in enumerate(([(1, "a"), (2, "b")], [(2, "B"), (3, "c")])):
+    for k, rows in enumerate(([(1, "a"), (2, "b")], [(2, "A"), (2, "B"), (3, "c")])):
         spark.createDataFrame(rows, "id int, v string").coalesce(1).write.mode("append").parquet(src)
         stream = spark.readStream.schema("id int, v string").parquet(src)
-        feeds.ingest(stream, out, str(tmp_path / "cp"), merge).awaitTermination()
+        feeds.ingest(stream, out, str(tmp_path / "cp"), merge, order=["v"]).awaitTermination()
     assert sorted(tuple(r) for r in spark.read.parquet(f"{out}/v=1").collect()) == [(1, "a"), (2, "B"), (3, "c")]
 
 
