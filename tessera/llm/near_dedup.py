@@ -32,7 +32,6 @@ from pyspark.sql import functions as F
 
 from tessera.llm._arrow import checkpointed, list_array, share_code, slices, text_buffers
 from tessera.llm._words import mix, normalised_words, shingles
-from tessera.operators.graph import components
 
 SIMILARITY = 0.8
 WIDTH = 5
@@ -204,6 +203,13 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY)
     return with_b.select("a", "b", "text_a", "text_b").mapInArrow(step, "a long, b long")
 
 
+def components(links: DataFrame) -> DataFrame:
+    """id, root: the least id that each linked id (a, b) reaches."""
+    from tessera.operators.graph import components as connected  # here, as workers that import this module need none of it
+
+    return connected(links)
+
+
 def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
