@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.lineage import settled
 from tessera.functions.queries import TextQuery, keywords, query_entities
 from tessera.operators.graph import components
 from tessera.operators.merging import page
@@ -72,8 +73,8 @@ def keyword_search(df: DataFrame, query: TextQuery, text: str = "content", limit
 
 
 def bm25_search(df: DataFrame, terms: list[str], text: str = "content", limit: int | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """id, score by BM25 over rows with any of the terms; corpus statistics are one aggregate over the same scan."""
-    rows = tokenised(df, tokens(F.col(text))).select("id", F.size("__w").alias("__n"), *(c.alias(f"__t{i}") for i, c in enumerate(term_counts(F.col("__w"), terms))))
+    """id, score by BM25 over rows with any of the terms. Texts are read and cut once: what is kept of each is its length and a count for each term."""
+    rows = settled(tokenised(df, tokens(F.col(text))).select("id", F.size("__w").alias("__n"), *(c.alias(f"__t{i}") for i, c in enumerate(term_counts(F.col("__w"), terms)))))
     seen = [F.count_if(F.col(f"__t{i}") > 0).alias(f"__d{i}") for i in range(len(terms))]
     stats = rows.agg(F.count("*").alias("__rows"), F.avg("__n").alias("__mean"), *seen)  # one row
     score = F.lit(0.0)
