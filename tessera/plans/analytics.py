@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.queries import keywords, web_query
+from tessera.operators import code as C
 from tessera.operators import flows as W
 from tessera.operators import graph as G
 from tessera.operators import lexical as L
@@ -208,6 +209,29 @@ def _stitch(m: Model) -> DataFrame:
 _add("graph_stitch", _stitch, "docs collections", "SELECT DISTINCT p.collection AS topic, concat('doc::', p.id) AS publisher, left(p.workspace_hash, 8) AS from_workspace, concat('ON ', c.path) AS consumer, left(c.workspace_hash, 8) AS to_workspace FROM docs p JOIN collections c ON c.name = p.collection")
 _add("graph_context_hash", lambda m: G.context_hash(m.edges), "edges", "SELECT coalesce(a.t, b.s) AS node, sha256(concat(coalesce(x, ''), '|', coalesce(y, ''))) AS hash FROM (SELECT t, string_agg(DISTINCT s, ',' ORDER BY s) AS x FROM e WHERE k = 'calls' GROUP BY 1) a FULL JOIN (SELECT s, string_agg(DISTINCT t, ',' ORDER BY t) AS y FROM e WHERE k = 'calls' GROUP BY 1) b ON a.t = b.s", _E)
 
+_add("graph_changed_symbols", lambda m: G.changed_symbols(m.spark.createDataFrame([("customer.tbl",)], "path string"), m.edges.selectExpr("source_file AS path", "split_part(source_node, '::', 2) AS symbol", "source_node AS target").distinct(), m.edges), "edges", "SELECT d.path, d.symbol, c.s AS caller FROM (SELECT DISTINCT source_file AS path, split_part(source_node, '::', 2) AS symbol, source_node AS target FROM edges WHERE source_file = 'customer.tbl') d LEFT JOIN e c ON c.t = d.target AND c.k = 'calls'", _E)
+
+# --- code: a few files, and what they hold as it can be read from them ---
+FILES = (
+    ("api/routes.go", 'package api\nimport "fmt"\nfunc Setup(e *Echo) {\n\tg := e.Group("/v1", auth)\n\tg.GET("/users", listUsers)\n}\nfunc listUsers(c Context) error {\n\treturn load(c)\n}\n'),
+    ("web/app.ts", "import { x } from './lib'\nrouter.post('/orders', check, create)\nexport function create(req) {\n  bus.publish('orders', req)\n}\n"),
+    ("web/lib/index.ts", "export const x = 1\n"),
+    ("jobs/run.py", "import os\n\ndef run():\n    load(1)\n"),
+)
+
+
+def _sources(m: Model) -> DataFrame:
+    return m.spark.createDataFrame(FILES, "path string, content string")
+
+
+def _values(*rows: str) -> str:
+    return f"SELECT * FROM (VALUES {', '.join(rows)}) v(source_node, target_node, edge_type)"
+
+
+_add("code_routes", lambda m: C.routes(_sources(m), ["echo", "express"]).select("source_node", "target_node", "edge_type"), "", _values("('GET /v1/users', 'listUsers', 'http')", "('auth', 'listUsers', 'middleware')", "('POST /orders', 'create', 'http')", "('check', 'create', 'middleware')"))
+_add("code_calls", lambda m: C.extract(_sources(m), ["echo"]).filter("edge_type IN ('calls', 'integration')").select("source_node", "target_node", "edge_type"), "", _values("('api/routes.go::Setup', 'Group', 'calls')", "('api/routes.go::Setup', 'GET', 'calls')", "('api/routes.go::listUsers', 'load', 'calls')", "('web/app.ts::create', 'publish', 'calls')", "('web/app.ts::create', 'PUBLISH orders', 'integration')", "('jobs/run.py::run', 'load', 'calls')"))
+_add("code_imports", lambda m: C.resolve_imports(C.extract(_sources(m), ["echo"]).filter("edge_type = 'imports'").select("source_file", F.col("target_node").alias("specifier")), _sources(m).select("path"), m.spark.createDataFrame([], "prefix string, root string")).select(F.col("source_file").alias("source_node"), F.col("target").alias("target_node"), F.lit("imports").alias("edge_type")), "", _values("('api/routes.go', 'fmt', 'imports')", "('web/app.ts', 'web/lib/index.ts', 'imports')", "('jobs/run.py', 'os', 'imports')"))
+
 # --- text ---
 _add("text_semantic_tags", lambda m: m.docs.select("id", F.array_join(X.semantic_tags(F.col("title"), F.col("content")), ",").alias("found")), "docs", "SELECT id, concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(lower(concat(title, ' ', content)), '{p}') THEN '{t}' END" for t, p in X.TAG_PATTERNS.items()) + ") AS found FROM docs")
 _NO = ", ".join(f"'{x}'" for x in X.NO_TICKETS)
