@@ -49,6 +49,24 @@ def path_hit(returned: str, relevant: str):
     return (a == b) | F.endswith(a, F.concat(F.lit("/"), b))
 
 
+def per_query_paths(returned: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
+    """The same as ``per_query`` for paths: returned (query_id, path, rank from 0), relevant (query_id, path); queries without relevant paths count as 0.
+
+    A returned path is relevant if it is one of these or ends with one after a slash or a backslash, whatever the case:
+    all its endings are looked up, so paths meet in an equi-join. Two returned paths may hit the same relevant one.
+    """
+    goal = relevant.select("query_id", F.lower("path").alias("end")).distinct()
+    low = F.lower("path")
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))), lambda i: (i == 1) | F.substr(low, i - 1, F.lit(1)).isin("/", "\\"))
+    ends = returned.select("query_id", "rank", F.explode(F.transform(starts, lambda i: F.substr(low, i))).alias("end"))
+    hits = ends.join(goal, ["query_id", "end"], "left_semi").select("query_id", "rank").distinct()
+    found = hits.groupBy("query_id").agg(F.count_if(F.col("rank") < k).alias("hits"), F.min("rank").alias("__first"))
+    every = returned.select("query_id").union(relevant.select("query_id")).distinct()
+    wanted = relevant.groupBy("query_id").agg(F.count("*").alias("relevant"))
+    rows = every.join(wanted, "query_id", "left").join(found, "query_id", "left").na.fill(0, ["hits", "relevant"])
+    return rows.select("query_id", "hits", "relevant", (F.col("hits") / k).alias("precision"), F.when(F.col("relevant") > 0, F.col("hits") / F.col("relevant")).alias("recall"), F.coalesce(1 / (F.col("__first") + 1), F.lit(0.0)).alias("reciprocal_rank"))
+
+
 def regressions(baseline: dict[str, float], new: dict[str, float]) -> dict[str, str]:
     """metric: why it fails. Exactly at a threshold passes."""
     failed = {}

@@ -209,6 +209,22 @@ def audit_gaps(docs: DataFrame, chunks: DataFrame, embeddings: DataFrame) -> Dat
     return found.union(without(named(embeddings, "chunk_id"), "chunk_id", chunks.select("id"), "embedding without chunk"))
 
 
+# Parts of paths that no index should hold.
+NOISE = (".output", "_nuxt", "node_modules", ".worktrees", ".pr-reviews", ".opencode", ".next", ".nuxt", "dist/", "build/")
+
+
+def noise(docs: DataFrame, edges: DataFrame, workspace: str | None = None, parts: tuple[str, ...] = NOISE) -> DataFrame:
+    """part, edges, documents, share (of all edges): how many paths hold a part, whatever the case; a path counts for each part it holds."""
+    held = lambda path: F.filter(F.array(*map(F.lit, parts)), lambda p: F.contains(F.lower(path), F.lower(p)))
+    kept = lambda df: df if workspace is None else df.filter(F.col("workspace_hash") == workspace)
+    per_file = kept(edges).groupBy("source_file").agg(F.count("*").alias("n"))
+    rows = per_file.select(F.explode(held("source_file")).alias("part"), F.col("n").alias("edges"), F.lit(0).cast("long").alias("documents"))
+    rows = rows.union(kept(docs).select(F.explode(held("source_path")).alias("part"), F.lit(0).cast("long"), F.lit(1).cast("long")))
+    total = kept(edges).agg(F.count("*").alias("total"))
+    found = rows.groupBy("part").agg(F.sum("edges").alias("edges"), F.sum("documents").alias("documents"))
+    return found.select("part", "edges", "documents", (F.col("edges") / F.greatest(total.scalar(), F.lit(1))).alias("share"))
+
+
 # --- edges ---
 
 

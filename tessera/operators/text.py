@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -23,6 +23,8 @@ TICKET_PATTERNS = (r"\b[A-Z][A-Z0-9]+-\d+\b", r"#\d+")
 NO_TICKETS = ("UTF", "UTF8", "UTF16", "SHA", "MD5", "ISO", "RFC", "TLS", "SSL", "HTTP", "HTTPS", "CVE", "BASE64", "IPV4", "IPV6", "X86", "ARM64")
 LINK = r"(?<!\\)\[\[([^\[\]\n]{1,200})\]\]"
 UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
+# Tags that say where a document comes from, not what it is about.
+FORM_TAGS = ("opencode", "session", "claude", "summary")
 BOTS = ("[bot]", "dependabot", "renovate", "github-actions")
 
 
@@ -51,6 +53,27 @@ def ticket_tags(content: Column, inherited: Column | None = None) -> Column:
     return own if inherited is None else F.array_sort(F.array_union(own, F.filter(F.coalesce(inherited, F.array().cast("array<string>")), lambda t: t.startswith("ticket:"))))
 
 
+def retagged(docs: DataFrame, collection: str = "sessions") -> DataFrame:
+    """The documents, those of a collection that have no ticket tag yet with the tags of the tickets in their contents."""
+    tags = F.coalesce("tags", F.array().cast("array<string>"))
+    due = (F.col("collection") == collection) & ~F.exists(tags, lambda t: t.startswith("ticket:"))
+    own = ticket_tags(F.coalesce("content", F.lit("")))
+    return docs.withColumn("tags", F.when(due & (F.size(own) > 0), F.array_union(tags, own)).otherwise(F.col("tags")))
+
+
+def categorised(docs: DataFrame, suggest: Callable[[DataFrame], DataFrame], confidence: float = 0.6) -> DataFrame:
+    """The documents with the tags that a model suggests for those which have only tags of form.
+
+    ``suggest`` turns documents into rows (id, tags, confidence); suggestions below ``confidence`` and tags of form are
+    left out. Documents without a suggestion stay as they are.
+    """
+    tags = F.coalesce("tags", F.array().cast("array<string>"))
+    plain = docs.filter(~F.exists(tags, lambda t: ~t.isin(*FORM_TAGS)))
+    made = suggest(plain).filter(F.col("confidence") >= confidence).groupBy("id").agg(F.flatten(F.collect_list("tags")).alias("__new"))
+    new = F.filter("__new", lambda t: t.isNotNull() & ~t.isin(*FORM_TAGS))
+    return docs.join(made, "id", "left").withColumn("tags", F.when(F.size(new) > 0, F.array_sort(F.array_union(tags, new))).otherwise(F.col("tags"))).select(*docs.columns)
+
+
 def entities(content: Column, least: int = 3, stop_words: tuple[str, ...] = ()) -> Column:
     """Distinct lower-case identifiers and the parts of camelCase ones, of ``least`` characters at least."""
     whole = F.filter(F.regexp_extract_all(content, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda t: F.rlike(t, F.lit(r"\p{L}")))

@@ -16,6 +16,7 @@ from tessera.operators import metrics as M
 from tessera.operators import search as R
 from tessera.operators import text as X
 from tessera.plans.model import EN, Model, with_tables
+from tessera.sources import admission as A
 from tessera.streaming import feeds
 
 ANALYTICS: dict[str, tuple[Callable[[Model], DataFrame], str | None]] = {}
@@ -236,13 +237,36 @@ _add("code_imports", lambda m: C.resolve_imports(C.extract(_sources(m), ["echo"]
 _add("text_semantic_tags", lambda m: m.docs.select("id", F.array_join(X.semantic_tags(F.col("title"), F.col("content")), ",").alias("found")), "docs", "SELECT id, concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(lower(concat(title, ' ', content)), '{p}') THEN '{t}' END" for t, p in X.TAG_PATTERNS.items()) + ") AS found FROM docs")
 _NO = ", ".join(f"'{x}'" for x in X.NO_TICKETS)
 _add("text_tickets", lambda m: m.docs.select("id", F.explode(X.tickets(F.concat(F.col("content"), F.lit(" AB-7 and UTF-8, see #12 "), F.upper("collection"), F.lit("-1")))).alias("ticket")), "docs", f"SELECT DISTINCT id, upper(t) AS ticket FROM (SELECT id, unnest(list_concat(regexp_extract_all(c, '\\b[A-Z][A-Z0-9]+-\\d+\\b'), regexp_extract_all(c, '#\\d+'))) AS t FROM (SELECT id, concat(content, ' AB-7 and UTF-8, see #12 ', upper(collection), '-1') AS c FROM docs)) WHERE NOT contains(t, '-') OR split_part(upper(t), '-', 1) NOT IN ({_NO})")
-_add("text_entities", lambda m: m.chunks.select("document_id", F.explode(X.entities(F.col("content"))).alias("entity")).groupBy("entity").agg(F.countDistinct("document_id").alias("documents")))
+# Parts of camelCase words begin at each upper-case letter.
+_PARTS = "SELECT document_id, list_filter(regexp_extract_all(content, '[\\p{L}\\p{N}_]+'), lambda x: regexp_matches(x, '\\p{L}')) AS w FROM chunks"
+_ENTITIES = f"SELECT document_id, unnest(list_distinct(list_transform(list_concat(w, flatten(list_transform(w, lambda x: regexp_extract_all(x, '.[^\\p{{Lu}}]*')))), lambda x: lower(x)))) AS entity FROM ({_PARTS})"
+_add("text_entities", lambda m: m.chunks.select("document_id", F.explode(X.entities(F.col("content"))).alias("entity")).groupBy("entity").agg(F.countDistinct("document_id").alias("documents")), "chunks", f"SELECT entity, count(DISTINCT document_id) AS documents FROM ({_ENTITIES}) WHERE length(entity) >= 3 GROUP BY 1")
 _add("text_sessions", lambda m: X.sessions(m.table("conversations")), "", "SELECT conv_id, count(*) AS turns, string_agg(concat('## ', role, chr(10), chr(10), text), chr(10) || chr(10) ORDER BY turn) AS markdown FROM conversations GROUP BY 1")
 _add("text_chunks", lambda m: X.chunk(m.docs))
 _add("text_minified", lambda m: m.docs.select("id", X.minified(F.col("source_path"), F.col("content")).alias("minified")), "docs", "SELECT id, length(content) > 0 AND (list_max(list_transform(string_split(content, chr(10)), lambda x: length(x))) > 2000 OR (strlen(content) > 50000 AND length(content) / len(string_split(content, chr(10))) > 400)) AS minified FROM docs")
 _add("text_memories", lambda m: X.memories(m.table("conversations").selectExpr("conv_id * 1000 + turn AS id", "concat('Decision: ', text) AS content")).select("id", "kind", "memory"), "", "SELECT conv_id * 1000 + turn AS id, 'decision' AS kind, trim(split_part(text, chr(10), 1)) AS memory FROM conversations WHERE trim(split_part(text, chr(10), 1)) <> ''")
 _add("text_links", lambda m: X.resolve_links(X.wikilinks(m.docs.select("id", F.concat(F.coalesce("content", F.lit("")), F.lit(" see [["), F.upper("collection"), F.lit("]] and [[9]] or \\[[no]]")).alias("content"))), m.docs.selectExpr("id", "collection AS title")).select("id", "target", "is_id", "target_id", F.col("matches").alias("n")), "docs", "SELECT d.id, l.target, false AS is_id, t.m AS target_id, t.n FROM docs d, (VALUES (1), (2)) v(x), LATERAL (SELECT CASE x WHEN 1 THEN upper(d.collection) ELSE '9' END AS target) l LEFT JOIN (SELECT collection AS k, min(id) AS m, count(*) AS n FROM docs GROUP BY 1 UNION ALL SELECT '9', min(id), count(*) FROM docs WHERE id = 9) t ON t.k = lower(l.target)")
-_add("text_embed_truncate", lambda m: m.docs.select("id", F.length(X.embed_text(F.col("content"))).cast("long").alias("n")))
+_add("text_embed_truncate", lambda m: m.docs.select("id", F.length(X.embed_text(F.col("content"))).cast("long").alias("n")), "docs", "SELECT id, CASE WHEN strlen(content) <= 3000 THEN length(content) ELSE 749 + len(list_filter(range(750, 3001), lambda i: strlen(left(content, i)) <= 3000)) END AS n FROM docs")
+
+
+def _retag(m: Model) -> DataFrame:
+    """Every source's documents are about a ticket; every fourth one has a tag already."""
+    docs = m.docs.select("id", "collection", F.concat("content", F.lit(" UTF-8 ab QX-"), F.col("id").cast("string")).alias("content"), F.when(F.col("id") % 4 == 0, F.array_append("tags", F.lit("ticket:OLD-1"))).otherwise(F.col("tags")).alias("tags"))
+    return X.retagged(docs, "src1").select("id", F.array_join("tags", ",").alias("tags"))
+
+
+_FOUND = f"list_sort(list_distinct(list_filter(list_transform(list_concat(regexp_extract_all(c, '\\b[A-Z][A-Z0-9]+-\\d+\\b'), regexp_extract_all(c, '#\\d+')), lambda x: upper(x)), lambda x: NOT contains(x, '-') OR split_part(x, '-', 1) NOT IN ({_NO}))))"
+_add("text_retag", _retag, "docs", f"SELECT id, array_to_string(CASE WHEN id % 4 = 0 THEN list_append(tags, 'ticket:OLD-1') WHEN collection = 'src1' THEN list_concat(tags, list_transform({_FOUND}, lambda x: 'ticket:' || x)) ELSE tags END, ',') AS tags FROM (SELECT *, content || ' UTF-8 ab QX-' || id AS c FROM docs)")
+
+
+def _admission(m: Model) -> DataFrame:
+    """Documents as files: built ones, lock files, a folder ruled out below the root, and generated ones, of which one folder is taken back."""
+    path = "concat(CASE id % 5 WHEN 0 THEN 'dist/' WHEN 1 THEN 'src/gen/' ELSE '' END, collection, '/', CAST(id AS STRING), CASE WHEN id % 7 = 0 THEN '.lock' ELSE '.md' END) AS relative"
+    ignores = m.spark.createDataFrame([("", "# note\n/src2/"), ("src", "gen/*\n!gen/src3")], "folder string, content string")
+    return A.admitted(m.docs.selectExpr("id", path), ["md"], ["*7?.md"], ignores).select("id")
+
+
+_add("ingest_admission", _admission, "docs", "SELECT id FROM docs WHERE id % 5 <> 0 AND id % 7 <> 0 AND NOT (id >= 70 AND (id // 10) % 10 = 7) AND CASE WHEN id % 5 = 1 THEN collection = 'src3' ELSE collection <> 'src2' END")
 
 
 def _files(m: Model) -> DataFrame:
@@ -278,6 +302,19 @@ def _per_query(m: Model) -> DataFrame:
 _PQ = "pq AS (SELECT query_id, count(*) FILTER (WHERE rel IS NOT NULL AND rank < 10) AS hits, count(rel) AS relevant, min(CASE WHEN rel IS NOT NULL THEN rank END) AS first FROM ret LEFT JOIN (SELECT query_id, id, 1 AS rel FROM lab WHERE quality = 1) USING (query_id, id) GROUP BY 1)"
 _add("metric_per_query", lambda m: _per_query(m).select("query_id", "hits", "relevant", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "reciprocal_rank"))), "", f"WITH {_J}, {_PQ} SELECT query_id, hits, relevant, round(hits / 10.0::DOUBLE, 6) AS precision, round(hits / relevant, 6) AS recall, round(coalesce(1.0::DOUBLE / (first + 1), 0), 6) AS reciprocal_rank FROM pq")
 _add("metric_summary", lambda m: M.summary(_per_query(m)).select("queries", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "mrr"))), "", f"WITH {_J}, {_PQ} SELECT count(*) AS queries, round(avg(hits / 10.0::DOUBLE), 6) AS precision, round(avg(hits / relevant), 6) AS recall, round(avg(coalesce(1.0::DOUBLE / (first + 1), 0)), 6) AS mrr FROM pq")
+
+
+def _paths(m: Model) -> DataFrame:
+    """A source asks for every third of its documents, by the end of the path and in capitals."""
+    from pyspark.sql import Window
+
+    rank = F.row_number().over(Window.partitionBy("collection").orderBy("id")).cast("long") - 1
+    returned = m.docs.select(F.col("collection").alias("query_id"), F.col("source_path").alias("path"), rank.alias("rank"))
+    wanted = m.docs.filter("id % 3 = 0").selectExpr("collection AS query_id", "upper(concat(collection, '/', CAST(id AS STRING), '.md')) AS path")
+    return M.per_query_paths(returned, wanted, 10).select("query_id", "hits", "relevant", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "reciprocal_rank")))
+
+
+_add("metric_paths", _paths, "docs", "SELECT query_id, hits, relevant, round(hits / 10.0::DOUBLE, 6) AS precision, round(hits / nullif(relevant, 0), 6) AS recall, round(coalesce(1.0::DOUBLE / (first + 1), 0), 6) AS reciprocal_rank FROM (SELECT r.query_id, count(w.path) FILTER (WHERE rank < 10) AS hits, count(w.path) AS relevant, min(CASE WHEN w.path IS NOT NULL THEN rank END) AS first FROM (SELECT collection AS query_id, source_path, row_number() OVER (PARTITION BY collection ORDER BY id) - 1 AS rank FROM docs) r LEFT JOIN (SELECT collection AS query_id, lower(concat(collection, '/', id, '.md')) AS path FROM docs WHERE id % 3 = 0) w ON w.query_id = r.query_id AND ends_with(lower(source_path), '/' || w.path) GROUP BY 1)")
 _add("metric_ndcg", lambda m: M.ndcg(_judged(m)[0], _judged(m)[1].select("query_id", "id", "rel"), 50).select("query_id", F.round("ndcg", 6).alias("ndcg")), "", f"WITH {_J} SELECT query_id, round(coalesce(dcg, 0) / ideal, 6) AS ndcg FROM (SELECT query_id, sum(rel / log2(r + 2.0::DOUBLE)) AS ideal FROM (SELECT query_id, rel, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, id) - 1 AS r FROM lab) WHERE r < 50 GROUP BY 1) LEFT JOIN (SELECT query_id, sum(rel / log2(rank + 2.0::DOUBLE)) AS dcg FROM ret JOIN lab USING (query_id, id) WHERE rank < 50 GROUP BY 1) USING (query_id)")
 _add("metric_percentiles", lambda m: M.percentiles(m.table("events"), "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99}, ["event_type"]), "", "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY 1")
 

@@ -12,6 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.workers import share_code
 from tessera.sources.tables import table
 
 
@@ -25,6 +26,7 @@ GRAPH = sha("graph")
 
 class Model:
     def __init__(self, spark: SparkSession, folder: str):
+        share_code(spark)
         self.spark, self.folder = spark, folder
 
     def table(self, name: str) -> DataFrame:

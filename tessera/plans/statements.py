@@ -307,6 +307,8 @@ _add("audit_duplicates", lambda m: m.docs.groupBy("content_hash").agg(F.count("*
 _add("audit_documents_without_embeddings", lambda m: m.docs.join(m.embeddings.select(F.col("document_id").alias("id")), "id", "left_anti").groupBy("collection").agg(F.count("*").alias("n")), "docs emb", "SELECT collection, count(*) AS n FROM docs WHERE id NOT IN (SELECT document_id FROM emb) GROUP BY 1")
 _add("audit_noise", lambda m: m.docs.withColumn("noise", F.expr("exists(array('%src1/%', '%SRC2/1%'), p -> source_path ILIKE p)")).groupBy("noise").agg(F.count("*").alias("n")), "docs", "SELECT source_path ILIKE '%src1/%' OR source_path ILIKE '%SRC2/1%' AS noise, count(*) AS n FROM docs GROUP BY 1")
 _add("audit_edge_sources", lambda m: page(m.edges.groupBy("source_file", "edge_type").agg(F.count("*").alias("n")), [F.desc("n"), "source_file", "edge_type"], 20), "edges", "SELECT source_file, edge_type, count(*) AS n FROM edges GROUP BY 1, 2 ORDER BY n DESC, source_file, edge_type LIMIT 20")
+_NOISY = ("part", "Nation", "SRC1/", "nowhere")
+_add("audit_edge_noise", lambda m: S.noise(m.docs, m.edges, None, _NOISY).select("part", "edges", "documents", F.round("share", 6).alias("share")), "docs edges", f"SELECT part, edges, documents, round(edges / (SELECT count(*) FROM edges), 6) AS share FROM (SELECT part, (SELECT count(*) FROM edges WHERE source_file ILIKE '%' || part || '%') AS edges, (SELECT count(*) FROM docs WHERE source_path ILIKE '%' || part || '%') AS documents FROM (SELECT unnest({list(_NOISY)}) AS part)) WHERE edges + documents > 0")
 
 
 def _without_subtree(m: Model) -> DataFrame:

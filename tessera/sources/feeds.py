@@ -7,29 +7,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.operators.text import is_bot
+from tessera.sources.admission import admitted
 
-# Directories and files that no scan enters, and extensions of binary files.
-IGNORED = ("node_modules", ".git", "vendor", "dist", "build", "target", "__pycache__", ".venv", ".idea", ".next", "coverage")
-LOCK_FILES = ("package-lock.json", "yarn.lock", "pnpm-lock.yaml", "go.sum", "Cargo.lock", "Gemfile.lock", "poetry.lock", "composer.lock")
+# Extensions of binary files.
 BINARY = ("png", "jpg", "jpeg", "gif", "webp", "ico", "pdf", "zip", "gz", "tar", "7z", "exe", "dll", "so", "dylib", "class", "jar", "wasm", "woff", "woff2", "ttf", "mp3", "mp4", "mov", "sqlite", "db", "bin")
 
 
-def scan_files(spark: SparkSession, root: str, extensions: list[str] | None = None, exclude: list[str] = (), most_bytes: int = 1 << 20) -> DataFrame:
-    """path, size, mtime, content, hash of the text files below ``root`` that are admitted.
+def scan_files(spark: SparkSession, root: str, extensions: list[str] | None = None, exclude: list[str] = (), most_bytes: int = 1 << 20, ignores: DataFrame | None = None) -> DataFrame:
+    """path, size, mtime, content, hash of the text files below ``root`` that are admitted; large, binary and non-UTF-8 files go.
 
-    Names are tried before contents: ignored directories, lock files, excluded patterns (regular expressions), then
-    allowed extensions; large, binary and non-UTF-8 files go.
+    Names are tried (see ``admission``) before any content is read.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    keep = ~F.rlike("path", F.lit("/(" + "|".join(x.replace(".", r"\.") for x in IGNORED) + ")/"))
-    keep = keep & ~F.substring_index("path", "/", -1).isin(*LOCK_FILES) & ~ext.isin(*BINARY) & (F.col("length") <= most_bytes)
-    for pattern in exclude:
-        keep = keep & ~F.rlike("path", F.lit(pattern))
-    if extensions:
-        keep = keep & ext.isin(*(e.lstrip(".").lower() for e in extensions))
+    below = F.regexp_replace("path", "^file:/+", "/")
+    files = files.filter(~ext.isin(*BINARY) & (F.col("length") <= most_bytes)).withColumn("relative", F.substring(below, len(root.rstrip("/").removeprefix("file:")) + 2, 1 << 20))
     text = F.col("content").cast("string")
-    return files.filter(keep).filter(F.is_valid_utf8(text)).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), text.alias("content"), F.sha2("content", 256).alias("hash"))
+    kept = admitted(files, extensions, exclude, ignores).filter(F.is_valid_utf8(text))
+    return kept.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), text.alias("content"), F.sha2("content", 256).alias("hash"))
 
 
 SESSION_LINE = T.StructType().add("sessionId", "string").add("type", "string").add("timestamp", "string").add("message", T.StructType().add("role", "string").add("content", "string"))
