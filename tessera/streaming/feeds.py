@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.lineage import shared_folder
+
 
 def follow(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 100) -> DataFrame:
     """A parquet table as a stream of its files; the schema is that of the files which are there."""
@@ -45,13 +48,36 @@ def fan_out(events: DataFrame, types: list[str] | None = None, workspace: str |
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over all that is there now and returns the result; for reports and tests, the sink is in memory."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Runs a stream over all that is there now and returns the result.
+
+    Executors write each batch to the folder they share and the driver holds no rows; with "complete" a batch replaces
+    the one before. The stream's state lies there too, as any executor may need it, and goes when the stream has ended.
+    """
+    spark = stream.sparkSession
+    place = f"{shared_folder(spark)}/{name}-{uuid.uuid4()}"
+    batches: list[str] = []
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(at := f"{place}/v={batch_id}")
+        if mode == "complete":
+            _delete(spark, *(b for b in batches if b != at))
+            batches.clear()
+        if at not in batches:
+            batches.append(at)
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{place}/state").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     try:
         query.awaitTermination()
     finally:
         query.stop()
-    return stream.sparkSession.table(name)
+        _delete(spark, f"{place}/state")
+    return spark.read.schema(stream.schema).parquet(*batches) if batches else spark.createDataFrame([], stream.schema)
+
+
+def _delete(spark: SparkSession, *folders: str) -> None:
+    for folder in folders:
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def ingest(stream: DataFrame, path: str, checkpoint: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame], key: str = "id", order: list[str] = (), trigger: dict | None = None):

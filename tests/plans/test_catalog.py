@@ -81,6 +81,34 @@ def test_sessions_count_all_events_of_many_files_out_of_order(spark, tmp_path):
     assert [tuple(r) for r in got] == [(1, 203, 406)]
 
 
+def test_sessions_stay_with_the_executors(spark, tmp_path):
+    """Sessions whose rows exceed what the driver may hold (a sink in its memory fails); older batches and the state are gone."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from tessera.plans.analytics import ANALYTICS
+    from tessera.streaming import feeds
+
+    folder, n = tmp_path / "events.parquet", 20_000
+    folder.mkdir()
+    for k in range(2):
+        at = [datetime.datetime(2024, 1, 1 + k) + datetime.timedelta(microseconds=i * i * 7919 % 80_000_000_000) for i in range(n)]
+        pq.write_table(pa.table({"event_id": range(k * n, k * n + n), "user_id": [i * 31 % n for i in range(n)], "ts": pa.array(at, pa.timestamp("us"))}), folder / f"part-{k}.parquet")
+    conf = spark.sparkContext._jsc.sc().conf()
+    conf.set("spark.driver.maxResultSize", "150k")
+    try:
+        got = ANALYTICS["stream_user_sessions"][0](SimpleNamespace(spark=spark, folder=str(tmp_path)))
+        assert got.agg({"user_id": "count", "events": "sum"}).first().asDict() == {"count(user_id)": n, "sum(events)": 2 * n}
+        twice = feeds.run_to_table(feeds.user_sessions(feeds.follow(spark, str(tmp_path), "events", files_per_trigger=1), late=None), "two_batches")
+        assert twice.agg({"n": "sum"}).first()[0] == 2 * n
+    finally:
+        conf.remove("spark.driver.maxResultSize")
+    place = Path(twice.inputFiles()[0].removeprefix("file://")).parent.parent
+    assert str(place).startswith(spark.sparkContext.getCheckpointDir().removeprefix("file:")) and [p.name for p in place.iterdir() if p.is_dir()] == ["v=1"]
+
+
 def test_entities_and_links_read_whole_contents(spark, duck):
     from types import SimpleNamespace
 
