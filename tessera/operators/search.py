@@ -137,14 +137,16 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def vector_search(df: DataFrame, vector: list[float], limit: int | None, id_column: str = "id", column: str = "embedding", threshold: float | None = None) -> DataFrame:
-    """id, score: the exact nearest rows by cosine similarity; each Arrow batch is one product. Rows without a direction have no row."""
+    """id, score: the exact nearest rows by cosine similarity. Rows without a direction have no row.
+
+    Equal vectors have equal scores wherever they lie, so ids decide between them: sums run over the numbers in their
+    order, as SQL's do. A product of a matrix does not give that, as the last rows of a batch are summed in another order.
+    """
     goal = np.asarray(vector, np.float64)
-    goal = goal / (np.linalg.norm(goal) or 1.0)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, x = unit_vectors(batch.column(0), batch.column(1), len(goal))
-            scores = x @ goal
+            ids, scores = _cosines(batch.column(0), batch.column(1), goal)
             keep = np.ones(len(ids), bool) if threshold is None else scores >= threshold
             yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(scores[keep], pa.float64())], names=["id", "score"])
 
@@ -155,13 +157,35 @@ def vector_search(df: DataFrame, vector: list[float], limit: int | None, id_colu
 
 def unit_vectors(ids: pa.Array, vectors: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """ids and unit vectors of those rows that have one of ``width`` numbers that are not all 0."""
+    ids, x = _of_width(ids, vectors, width)
+    norm = np.linalg.norm(x, axis=1)
+    good = np.isfinite(norm) & (norm > 0)
+    return ids[good], x[good] / norm[good, None]
+
+
+def _of_width(ids: pa.Array, vectors: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """ids and vectors of those rows that have one of ``width`` numbers; a null among them is NaN."""
     lengths = pc.fill_null(pc.list_value_length(vectors), -1)
     fits = pc.equal(lengths, width)
     x = vectors.filter(fits).flatten()
     x = pc.fill_null(x, float("nan")).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, max(1, width))
-    norm = np.linalg.norm(x, axis=1)
-    good = np.isfinite(norm) & (norm > 0)
-    return ids.filter(fits).to_numpy(zero_copy_only=False)[good], x[good] / norm[good, None]
+    return ids.filter(fits).to_numpy(zero_copy_only=False), x
+
+
+def _cosines(ids: pa.Array, vectors: pa.Array, goal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ids and cosine similarities to ``goal`` of those rows that have a direction; each row's sums run from its first number to its last."""
+    ids, x = _of_width(ids, vectors, len(goal))
+    dot, own, other = np.zeros(len(ids)), np.zeros(len(ids)), 0.0
+    for column, g in zip(np.ascontiguousarray(x.T), goal, strict=False):
+        dot += column * g
+        own += column * column
+        other += g * g
+    good = np.isfinite(own) & (own > 0)
+    dot, own, other = dot[good], own[good], other or 1.0
+    with np.errstate(over="ignore"):
+        both = np.sqrt(own * other)
+    both = np.where((both > 0) & np.isfinite(both), both, np.sqrt(own) * np.sqrt(other))  # very small and very large numbers
+    return ids[good], np.clip(dot / both, -1.0, 1.0)
 
 
 def vector_search_many(df: DataFrame, queries: DataFrame, k: int, id_column: str = "id", column: str = "embedding") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +48,30 @@ def test_boosts_and_dedup(spark):
     assert {r.id: r.score for r in search.importance_boost(rows, scores, 0.2).collect()} == pytest.approx({"a": 1.18, "b": 1.02, "c": 1.1})
 
 
+@pytest.mark.parametrize("n", [2, 3, 6, 7, 63])
+def test_equal_vectors_have_equal_scores_wherever_they_lie(spark, n):
+    rng = np.random.default_rng(5)
+    goal, kinds = rng.normal(size=64).tolist(), rng.normal(size=(20, 64)).tolist()
+    rows = spark.createDataFrame([(k * 100 + i, kinds[k]) for i in range(n) for k in range(20)] + [(-1, kinds[0])], "id long, embedding array<double>").coalesce(1)
+    got = search.vector_search(rows, goal, None).collect()
+    found = {}
+    for r in got:
+        found.setdefault(max(r.id, 0) // 100, []).append(r)
+    for k, own in found.items():
+        assert len({r.score for r in own}) == 1 and [r.id for r in own] == sorted(r.id for r in own)
+        dot, a, b = 0.0, 0.0, 0.0
+        for x, y in zip(kinds[k], goal, strict=True):
+            dot, a, b = dot + x * y, a + x * x, b + y * y
+        assert own[0].score == dot / math.sqrt(a * b)
+    assert len(got) == 20 * n + 1
+
+
+def test_vectors_of_very_small_and_large_numbers(spark):
+    rows = spark.createDataFrame([(1, [3e-120, 4e-120]), (2, [4e120, 3e120]), (3, [0.0, 0.0]), (4, [1.0, float("nan")])], "id long, embedding array<double>")
+    for goal in ([1e-120, 0.0], [1e120, 0.0]):
+        assert [(r.id, round(r.score, 9)) for r in search.vector_search(rows, goal, None).collect()] == [(2, 0.8), (1, 0.6)]
+
+
 def test_snippet(spark):
     df = spark.createDataFrame([("short",), ("x" * 50 + " needle " + "y" * 50,), ("z" * 100,)], "c string")
     a, b, c = (r.s for r in df.select(search.snippet(F.col("c"), "needle none", 20).alias("s")).collect())

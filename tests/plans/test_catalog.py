@@ -109,6 +109,28 @@ def test_sessions_stay_with_the_executors(spark, tmp_path):
     assert str(place).startswith(spark.sparkContext.getCheckpointDir().removeprefix("file:")) and [p.name for p in place.iterdir() if p.is_dir()] == ["v=1"]
 
 
+def test_hybrid_equals_sql_on_late_words_and_on_ties_of_rounded_scores(spark, tmp_path):
+    """Contents whose first word of the query stands at their end; the 20th and 21st row differ in the seventh decimal only."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    n, step = 14, pow(37, -1, 99991)
+    at = [[(40_000 + 40 * r + 20 * leg) * step % 99991 for r in range(n)] for leg in range(2)]
+    at[1][0] = at[0][0]  # the only document of both legs, so that the pairs of equal ranks lie at places 2 and 3, 4 and 5, ...
+    older = next(m for m in range(41_000, 99_000) if m * step % 99991 < (m + 1) * step % 99991)
+    at[0][10], at[1][10] = older * step % 99991, (older + 1) * step % 99991
+    texts = {i: f"w{i} " + "the of " * (n - r) for r, i in enumerate(at[0])} | {i: f"w{i} " + "a " * 400 + "the" for i in at[1][1:]}
+    pq.write_table(pa.table({"doc_id": list(texts), "text": list(texts.values()), "lang": ["en"] * len(texts), "source": ["src2"] * len(texts), "n_chars": [len(t) for t in texts.values()]}), tmp_path / "documents.parquet")
+    vectors = [[1.0 + r / 10, *[1.0] * 63] for r in range(n)]
+    pq.write_table(pa.table({"vec_id": at[1], "embedding": pa.array(vectors, pa.list_(pa.float32())), "label": pa.array([0] * n, pa.int32())}), tmp_path / "embeddings.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    want = con.execute(entry.oracle_sql()["search_hybrid"]).fetchall()
+    assert [tuple(r) for r in entry.queries()["search_hybrid"](spark, str(tmp_path)).collect()] == want
+    assert len(want) == 20 and at[0][10] in {r[0] for r in want} and at[1][10] not in {r[0] for r in want} and sum(r[2] == 700 for r in want) == 9
+
+
 def test_entities_and_links_read_whole_contents(spark, duck):
     from types import SimpleNamespace
 
